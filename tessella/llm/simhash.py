@@ -111,7 +111,7 @@ def close_pairs(key: np.ndarray, fps: np.ndarray, radius: int, slab: int = 1 <<
     blocks = -(-n // 64)
     bits = np.zeros((blocks * 64, width * 64), np.uint8)
     bits[:n] = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(n, -1)
-    planes = np.packbits(bits.reshape(blocks, 64, -1).transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[..., 0]  # plane x block
+    planes = np.ascontiguousarray(np.packbits(bits.reshape(blocks, 64, -1).transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[..., 0]  # plane x block
     last = np.concatenate((np.flatnonzero(key[1:] != key[:-1]), [n - 1]))
     end = last[np.searchsorted(last, np.arange(n))] + 1  # of each row's group
     rows = np.flatnonzero(end - np.arange(n) > 1)
