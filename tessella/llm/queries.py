@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, sharding, simhash, urlfilter
+
+#: Target weights of the mixture: the large source is held down, a few are raised, the rest get an even share.
+MIX_TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06} | {f"src{k}": 0.04 for k in range(5, 20)}
+MIX_REST = 0.02
+
+URL_RULES = [
+    urlfilter.Rule("com", "/en/", "block"),
+    urlfilter.Rule("example.com", "/en/7", "allow"),
+    urlfilter.Rule("net", "/de/", "allow"),
+    urlfilter.Rule("example.net", "/de/8", "block"),
+    urlfilter.Rule("org", "/es/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +29,46 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.url_verdicts(pages, URL_RULES).select("page_id", "url_filter.*")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, MIX_TARGETS, MIX_REST).select("doc_id", "source", "mix.*")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
+}
+
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_url_filter": f"""
+WITH a AS (SELECT page_id, {_REST} AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+d AS (SELECT *, '.' || host AS h FROM c),
+e AS (SELECT page_id, host, path,
+        CASE WHEN h LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+             WHEN h LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+             WHEN h LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+             WHEN h LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+             WHEN h LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM d)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN host LIKE '%casino%' OR host LIKE '%-bets%' OR host LIKE '%cheap-pills%' OR '.' || host LIKE '%.ads-%' THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM e""",
+}
