@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, urlfilter
+from . import mixing, quality, sharding, simhash, toxicity, urlfilter
 
 #: Target weights of the mixture: the large source is held down, a few are raised, the rest get an even share.
 MIX_TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06} | {f"src{k}": 0.04 for k in range(5, 20)}
 MIX_REST = 0.02
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
+
 URL_RULES = [
     urlfilter.Rule("com", "/en/", "block"),
     urlfilter.Rule("example.com", "/en/7", "allow"),
@@ -34,6 +37,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(pages, URL_RULES).select("page_id", "url_filter.*")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.toxicity(docs, _table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    bad = F.filter("toxicity.sentences", lambda s: s["score"] >= TOXIC)
+    return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= TOXIC, 1).otherwise(0).alias("predicted"), F.transform(bad, lambda s: s["number"]).alias("sentences"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, MIX_TARGETS, MIX_REST).select("doc_id", "source", "mix.*")
@@ -47,6 +62,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }
