@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, toxicity, urlfilter
+from . import linededup, mixing, quality, sharding, simhash, toxicity, urlfilter
 
 #: Target weights of the mixture: the large source is held down, a few are raised, the rest get an even share.
 MIX_TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06} | {f"src{k}": 0.04 for k in range(5, 20)}
@@ -32,6 +32,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.line_dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.url_verdicts(pages, URL_RULES).select("page_id", "url_filter.*")
@@ -61,6 +66,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
@@ -71,6 +77,18 @@ QUERIES = {
 _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
 
 ORACLE: dict[str, str] = {
+    "op4_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+many AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT k.*, least IS NOT NULL AND doc_id <> least AS gone FROM k LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
     "op5_url_filter": f"""
 WITH a AS (SELECT page_id, {_REST} AS rest FROM pages),
 b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
