@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, sharding, simhash, substringdedup, toxicity, urlfilter
+from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash, substringdedup, toxicity, urlfilter
 
 #: Target weights of the mixture: the large source is held down, a few are raised, the rest get an even share.
 MIX_TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06} | {f"src{k}": 0.04 for k in range(5, 20)}
@@ -37,6 +37,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "leak.*")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.line_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -69,15 +74,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "license.*")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_license_scan": op10_license_scan,
 }
 
 _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
