@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, parts, utf8
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def chunked(docs: DataFrame, size: int = CHUNK) -> tuple[DataFrame, int]:

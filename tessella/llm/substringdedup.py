@@ -20,7 +20,7 @@ from .chunks import chunked, compare_ids, cuts, load, shards_of
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHALLOW = 16
 
 
@@ -280,14 +280,22 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         many.append(length[r][gone])
         begin, many = np.concatenate(begin), np.concatenate(many)
         total = len(seg.raw) - 64
-        mark = np.bincount(begin, minlength=total + 1) - np.bincount(begin + many + LENGTH - 1, minlength=total + 1)
-        mask = np.cumsum(mark)[:total] > 0
+        mark = np.zeros(total + 1, np.int32)
+        np.add.at(mark, begin, 1)
+        np.subtract.at(mark, begin + many + LENGTH - 1, 1)
+        mask = np.cumsum(mark, out=mark)[:total] > 0
+        del mark
         opens = mask.copy()
         opens[1:] &= ~mask[:-1]
         inner = seg.starts[seg.starts < total]
         opens[inner] = mask[inner]
-        sums, spans = (np.concatenate(([0], np.cumsum(x))) for x in (mask, opens))
-        removed, runs = sums[seg.ends] - sums[seg.starts], spans[seg.ends] - spans[seg.starts]
+
+        def within(flags: np.ndarray) -> np.ndarray:
+            sums = np.zeros(total + 1, np.int32)
+            np.cumsum(flags, out=sums[1:])
+            return (sums[seg.ends] - sums[seg.starts]).astype(np.int64)
+
+        removed, runs = within(mask), within(opens)
         b = np.frombuffer(seg.raw, np.uint8)
         kept = [seg.raw[s:e] if not k else b[s:e][~mask[s:e]].tobytes() for s, e, k in zip(seg.starts.tolist(), seg.ends.tolist(), removed.tolist())]
         return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(seg.ends - seg.starts), pa.array(removed), pa.array(runs)], schema=OUT)
