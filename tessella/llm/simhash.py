@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import LOWER, documents, materialise, parts, utf8
+from .common import LOWER, documents, fresh, materialise, parts, utf8
 from .components import components
 
 STEP = 1 << 16
@@ -342,3 +342,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("g"), F.coalesce("component", "rep").alias("class_id"))
     done = sig.join(label, F.col("digest") == F.col("g")).select("doc_id", "class_id")
     return done.unionAll(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: of each class of ``near_duplicates`` the row with the smallest doc_id stays.
+
+    Of rows that share a doc_id the one with the least text stays. Rows without a doc_id all stay, as nothing tells them apart.
+    """
+    classes = materialise(near_duplicates(docs, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")))
+    key = fresh(docs, "near_id")
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(key))
+    left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    repeated = classes.where("class_id = doc_id and rows > 1").select(F.col("doc_id").alias(key))
+    if repeated.isEmpty():
+        return left
+    row = fresh(docs, "near_row")
+    once = left.join(repeated, F.col("doc_id") == F.col(key), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(row))
+    return left.join(repeated, F.col("doc_id") == F.col(key), "left_anti").unionAll(once.select(f"{row}.*"))
