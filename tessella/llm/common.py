@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -55,6 +56,27 @@ def utf8(array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
 
 
+def lean(f):
+    """``f`` (of one or two tables) for a Python worker whose memory is bounded: large arrays go back to the system as soon as they are freed, and so does the rest after each call."""
+
+    def run(*args):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        trim = getattr(libc, "malloc_trim", None)  # of glibc
+        if trim:
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        try:
+            return f(*args)
+        finally:
+            if trim:
+                trim(0)
+
+    # Spark counts the arguments
+    return (lambda left, right: run(left, right)) if f.__code__.co_argcount == 2 else (lambda table: run(table))
+
+
 def parts(spark: SparkSession, size: int, each: int) -> int:
     """Partitions for ``size`` bytes or rows at about ``each`` in one, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

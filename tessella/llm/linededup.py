@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .chunks import chunked, compare_ids, cuts, load, shards_of
-from .common import LOWER
+from .common import LOWER, lean
 
 SPACES = b" \t\n\r\x0b\x0c"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -163,9 +163,9 @@ def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
             dropped.append(len(every) - len(stay))
         return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema=OUT)
 
-    sent = d.groupBy("chunk").applyInArrow(send, "shard int, chunk int, keys binary, docs binary, many binary")
-    back = sent.repartition(n, "shard").groupBy("shard").applyInArrow(answer, "chunk int, keys binary, docs binary")
-    return d.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(drop, "doc_id long, text string, n_lines long, n_dropped long")
+    sent = d.groupBy("chunk").applyInArrow(lean(send), "shard int, chunk int, keys binary, docs binary, many binary")
+    back = sent.repartition(n, "shard").groupBy("shard").applyInArrow(lean(answer), "chunk int, keys binary, docs binary")
+    return d.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean(drop), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 SENT = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import chunked, compare_ids, cuts, load, shards_of
+from .common import lean
 
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
 BLOCK = 1 << 18
 SHALLOW = 16
+SORT = 1 << 17
 
 
 def _words(raw: bytes) -> np.ndarray:
@@ -238,8 +240,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         alike = np.flatnonzero(times[group] > 1)
         value = np.repeat(least, windows)
         base = np.cumsum(windows) - windows
-        at, slot = ragged(start[alike], windows[alike]), ragged(base[alike], windows[alike])
-        if len(at):
+        alike = alike[np.argsort(group[alike], kind="stable")]
+        edge = np.flatnonzero(np.diff(group[alike], prepend=-1, append=-1))  # where each anchor's segments begin
+        upto = np.concatenate(([0], np.cumsum(windows[alike])))[edge]
+        done = 0
+        while done < len(edge) - 1:  # whole anchors, about SORT windows at a time
+            stop = max(done + 1, int(np.searchsorted(upto, upto[done] + SORT, "right")) - 1)
+            some = alike[edge[done] : edge[stop]]
+            done = stop
+            at, slot = ragged(start[some], windows[some]), ragged(base[some], windows[some])
             order, head = suffix_groups(raw, at)
             starts = np.flatnonzero(head == np.arange(len(head)))
             low = np.minimum.reduceat(value[slot][order], starts)
@@ -300,12 +309,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         kept = [seg.raw[s:e] if not k else b[s:e][~mask[s:e]].tobytes() for s, e, k in zip(seg.starts.tolist(), seg.ends.tolist(), removed.tolist())]
         return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(seg.ends - seg.starts), pa.array(removed), pa.array(runs)], schema=OUT)
 
-    sent = d.groupBy("chunk").applyInArrow(send, "shard int, chunk int, keys binary, many binary")
+    sent = d.groupBy("chunk").applyInArrow(lean(send), "shard int, chunk int, keys binary, many binary")
     back = "chunk int, shard int, kind int, a binary, b binary, c binary"
-    hits = sent.repartition(n, "shard").groupBy("shard").applyInArrow(shared, back)
-    segments = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(spread, "shard int, chunk int, text binary, size binary, off binary, docs binary")
-    told = segments.repartition(n, "shard").groupBy("shard").applyInArrow(compare, back)
-    return d.groupBy("chunk").cogroup(hits.unionAll(told).groupBy("chunk")).applyInArrow(remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    hits = sent.repartition(n, "shard").groupBy("shard").applyInArrow(lean(shared), back)
+    segments = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lean(spread), "shard int, chunk int, text binary, size binary, off binary, docs binary")
+    told = segments.repartition(n, "shard").groupBy("shard").applyInArrow(lean(compare), back)
+    return d.groupBy("chunk").cogroup(hits.unionAll(told).groupBy("chunk")).applyInArrow(lean(remove), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 SENT = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
