@@ -118,7 +118,7 @@ class Plan:
 def dense_rank(rows: DataFrame, group: Column | None, key: Column, ties: list[Column], name: str, n: int, each: int = 1 << 16) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... within each group in the order of ``key`` (a long, ordered as unsigned) and ``ties``.
 
-    Ranks come from counts of key ranges, of about ``each`` rows and never fewer than 64 ranges, so a group that holds
+    ``group`` must not be null, so that ranking and the join of the counts share one exchange. Ranks come from counts of key ranges, of about ``each`` rows and never fewer than 64 ranges, so a group that holds
     a third of all rows is spread over the cluster.
     """
     bits = max(6, min(40, (max(n, 1) // each).bit_length()))
@@ -127,7 +127,7 @@ def dense_rank(rows: DataFrame, group: Column | None, key: Column, ties: list[Co
     counts = rows.groupBy(g, b).agg(F.count("*").alias(r))
     before = counts.select(F.col(g).alias("g"), F.col(b).alias("b"), (F.sum(r).over(W.partitionBy(g).orderBy(b).rowsBetween(W.unboundedPreceding, -1))).alias(s))
     ranked = rows.withColumn(r, F.row_number().over(W.partitionBy(g, b).orderBy(F.shiftrightunsigned(key, 1), key.bitwiseAND(F.lit(1)), *ties)))
-    out = ranked.join(before, ranked[g].eqNullSafe(before["g"]) & (ranked[b] == before["b"]))
+    out = ranked.join(before.hint("merge"), (ranked[g] == before["g"]) & (ranked[b] == before["b"]))
     return out.withColumn(name, F.col(r) - 1 + F.coalesce(F.col(s), F.lit(0))).drop(g, b, r, s, before["g"], before["b"])
 
 

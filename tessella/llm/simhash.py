@@ -336,8 +336,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return pa.array(out, pa.bool_())
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(d.join(ends, "doc_id").dropDuplicates(["doc_id"]))
-    held = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").where(similar("x", "y")).select("a", "b")
+    texts = materialise(d.join(ends.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))  # one plan at every size: both sides go by doc_id
+    held = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").where(similar("x", "y")).select("a", "b")
     comp = components(held)
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("g"), F.coalesce("component", "rep").alias("class_id"))
     done = sig.join(label, F.col("digest") == F.col("g")).select("doc_id", "class_id")
@@ -352,7 +352,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     classes = materialise(near_duplicates(docs, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")))
     key = fresh(docs, "near_id")
     gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(key))
-    left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(key), "left_anti")
     repeated = classes.where("class_id = doc_id and rows > 1").select(F.col("doc_id").alias(key))
     if repeated.isEmpty():
         return left
