@@ -63,7 +63,7 @@ def iterate(n: int, f: Callable[[Column], Column], x: Column) -> Column:
 def while_(test: Callable[[Column], Column], step: Callable[[Column], Column], x: Column, most: int) -> Column:
     """A scalar loop of at most ``most`` rounds; one that still runs then is an error."""
     out = F.aggregate(F.sequence(F.lit(1), F.lit(most)), x, lambda acc, _: F.when(test(acc), step(acc)).otherwise(acc))
-    return F.when(test(out), F.raise_error(F.lit(f"still running after {most} rounds")).cast("double")).otherwise(out)
+    return F.when(test(out), F.raise_error(F.lit(f"still running after {most} rounds"))).otherwise(out)
 
 
 def case(tag: Column, branches: dict[int, Column], default: Column | None = None) -> Column:
@@ -84,7 +84,12 @@ def foreign_acc(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 def foreign_exp(f: Callable[..., Any] | None, fallback: Callable[..., Column], *args: Column, dtype: str = "double") -> Column:
     """A vectorised scalar function of Arrow arrays, or the fallback where there is none."""
-    return fallback(*args) if f is None else F.arrow_udf(f, dtype)(*args)
+    return fallback(*args) if f is None else F.arrow_udf(_untyped(f), dtype)(*args)
+
+
+def _untyped(f: Callable[..., Any]) -> Callable[..., Any]:
+    """Without annotations, which Spark would take as the kind of function."""
+    return lambda *xs: f(*xs)
 
 
 def atrace(message: str, a: Arr) -> Arr:

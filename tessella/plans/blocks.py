@@ -108,8 +108,9 @@ def scan(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, type
     if extent is None:
         extent = (df.agg(F.max(pos)).first()[0] or 0) + 1
     one = extent <= width
-    df = df.withColumn("block_", F.lit(0).cast("long") if one else div(F.col(pos), width))
-    keys = [*part, "block_"]
+    blk = f"{pos}b_"  # blocks of blocks have names of their own
+    df = df.withColumn(blk, F.lit(0).cast("long") if one else div(F.col(pos), width))
+    keys = [*part, blk]
     rest = [c for c in df.columns if c not in (*keys, pos, *vals)]
     if ops:
         w = W.partitionBy(*keys).orderBy(F.col(pos).desc() if right else F.col(pos)).rowsBetween(W.unboundedPreceding, 0)
@@ -127,12 +128,12 @@ def scan(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, type
         totals = packed.select(*keys, *[end[f"e{k}"].alias(v) for k, v in enumerate(vals)])
         local = packed.select(*keys, F.explode("a_").alias("x_")).select(*keys, F.col("x_.p").alias(pos), *[F.col(f"x_.r.{c}").alias(c) for c in rest], *[F.col(f"x_.e.e{k}").alias(v) for k, v in enumerate(vals)])
     if one:
-        return local.drop("block_")
+        return local.drop(blk)
     # the carry into a block is the inclusive scan of the totals of the block before it (after it)
     blocks = -(-extent // width)
-    carried = scan(totals, part, "block_", vals, op, types, blocks, right)
-    carry = carried.select(*[F.col(c).alias(f"{c}_k") for c in part], (F.col("block_") + (-1 if right else 1)).alias("block_k"), *[F.col(v).alias(f"{v}_k") for v in vals], F.lit(True).alias("has_k"))
-    on = F.col("block_") == F.col("block_k")
+    carried = scan(totals, part, blk, vals, op, types, blocks, right)
+    carry = carried.select(*[F.col(c).alias(f"{c}_k") for c in part], (F.col(blk) + (-1 if right else 1)).alias("block_k"), *[F.col(v).alias(f"{v}_k") for v in vals], F.lit(True).alias("has_k"))
+    on = F.col(blk) == F.col("block_k")
     for c in part:
         on = on & F.col(c).eqNullSafe(F.col(f"{c}_k"))
     met = local.join(carry, on, "left")
