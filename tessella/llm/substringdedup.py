@@ -84,7 +84,10 @@ class Segments:
         first, count = edge[:-1], np.diff(edge)
         keep = ok[first]
         first, count = first[keep], count[keep]
-        return first + lo, count, anchor[first] + lo, z[anchor[first]]
+        # anchors have small hashes by their choice; shards need even ones
+        even = z[anchor[first]] * np.uint64(0xBF58476D1CE4E5B9)
+        even ^= even >> np.uint64(31)
+        return first + lo, count, anchor[first] + lo, even * np.uint64(0x94D049BB133111EB)
 
     def bytes_of(self, k: np.ndarray) -> list[bytes]:
         raw = self.raw
