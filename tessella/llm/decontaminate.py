@@ -58,6 +58,11 @@ class Words:
 
     def add(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
+        core = word.rstrip(",.;:!?")
+        if core.isalpha() and (low := core.lower()) not in SPELLED:  # the common case of what follows
+            self.known[raw] = at = len(self.rows)
+            self.rows.append((1, word[-1] in ENDS, core[0].isupper(), 5 if low in UNITS else 0, xxhash.xxh3_64_intdigest(low.encode()), 0, 0))
+            return at
         ends = word.rstrip("\"')]}»”’").endswith(ENDS)
         core = word.strip("".join({c for c in word if not c.isalnum() and c not in "$€£%+-"})).rstrip(".,:/+-$€£").lstrip("%.,:/")
         fused = FUSED.fullmatch(core)
@@ -83,7 +88,7 @@ class Words:
         known, add = self.known, self.add
         out = np.fromiter((known[w] if w in known else add(w) for w in words), np.int64, len(words))
         if len(self.table) < len(self.rows):
-            self.table = np.concatenate((self.table, np.array([[int(x) for x in r] for r in self.rows[len(self.table) :]], np.uint64)))
+            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], np.uint64)))
         return out
 
 
