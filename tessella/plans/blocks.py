@@ -87,17 +87,15 @@ def fold(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, type
             return df.select(*part, *vals)
 
 
-def _reach(combine: Callable, n: int, step: int, right: bool) -> Callable[[Column, Column], Column]:
-    """One doubling step of a packed scan: each element takes in the one ``step`` before (after) it."""
+def _extend(combine: Callable, n: int, right: bool) -> Callable[[Column, Column], Column]:
+    """One step of a packed scan: the next element, combined with the last result, goes to the end of the results. Results are copied at each step, which the size of a block bounds."""
 
-    def reach(x: Column, i: Column) -> Column:
-        j = i + (step if right else -step)
-        there = (j < F.size("a_")) if right else (j >= 0)
-        o = F.get("a_", j)["e"]
-        pair = combine(_parts(x["e"], n), _parts(o, n)) if right else combine(_parts(o, n), _parts(x["e"], n))
-        return F.struct(x["p"].alias("p"), x["r"].alias("r"), F.when(there, _struct(pair)).otherwise(x["e"]).alias("e"))
+    def extend(acc: Column, x: Column) -> Column:
+        last, own = _parts(F.element_at(acc, -1)["e"], n), _parts(x["e"], n)
+        e = _struct(combine(own, last) if right else combine(last, own))
+        return F.concat(acc, F.array(F.struct(x["p"].alias("p"), x["r"].alias("r"), e.alias("e"))))
 
-    return reach
+    return extend
 
 
 def scan(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, types: Sequence, extent: int | None, right: bool = False) -> DataFrame:
@@ -118,13 +116,11 @@ def scan(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, type
         totals = df.groupBy(*keys).agg(*[BUILT_IN[o][0](v).cast(t).alias(v) for o, v, t in zip(ops, vals, types)])
     else:
         packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.struct(F.lit(0), *rest).alias("r"), _struct([F.col(v) for v in vals]).alias("e")))).alias("a_"))
-        step = 1
-        while step < width:  # every step doubles how far each element has looked; the arrays stay in the JVM
-            packed = packed.withColumn("a_", F.transform("a_", _reach(combine, n, step, right)))
-            step *= 2
-            if extent <= step:
-                break
-        end = F.element_at("a_", 1 if right else -1)["e"]
+        if right:
+            packed = packed.withColumn("a_", F.reverse("a_"))
+        first, rest_ = F.slice("a_", 1, 1), F.slice("a_", 2, F.greatest(F.size("a_") - 1, F.lit(0)))
+        packed = packed.withColumn("a_", F.aggregate(rest_, first, _extend(combine, n, right)))
+        end = F.element_at("a_", -1)["e"]
         totals = packed.select(*keys, *[end[f"e{k}"].alias(v) for k, v in enumerate(vals)])
         local = packed.select(*keys, F.explode("a_").alias("x_")).select(*keys, F.col("x_.p").alias(pos), *[F.col(f"x_.r.{c}").alias(c) for c in rest], *[F.col(f"x_.e.e{k}").alias(v) for k, v in enumerate(vals)])
     if one:
