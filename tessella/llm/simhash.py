@@ -237,7 +237,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot: int = 4096) -> DataF
                     yield pa.RecordBatch.from_pydict({"a": f[i[used]], "b": f[j[used]]})
 
     p = parts(fps.sparkSession, n * len(tables), 1 << 18)
-    return keyed.repartition(p, "key").sortWithinPartitions("key").mapInArrow(links, "a long, b long").where("a <> b")
+    return keyed.repartition(p, "key").sortWithinPartitions("key", "fp").mapInArrow(links, "a long, b long").where("a <> b")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i[u]], ids[j[u]]), "b": np.maximum(ids[i[u]], ids[j[u]])})
 
     rows = reps.where("n > 0").select("rep", "wide").mapInArrow(banded, "key long, rep long, f binary")
-    pairs = rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long")
+    pairs = rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep").mapInArrow(candidates, "a long, b long")
     pairs = materialise(pairs.distinct())
 
     @arrow_udf("boolean")
