@@ -266,7 +266,7 @@ def _bit_error(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 1 << 14) -> DataFrame:
     """(doc_id, class_id) for each row: links are pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; the class is the smallest doc_id reachable.
 
     Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
@@ -293,13 +293,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sig = materialise(d.select("doc_id", wide("text").alias("w")).select("doc_id", "w.digest", "w.wide", "w.n"))
     reps = sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("wide").alias("wide"), F.first("n").alias("n"))
 
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints' bytes, and a key for each band."""
+        w = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        bits = np.unpackbits(w, axis=1, bitorder="little")[:, : r * bands].reshape(batch.num_rows, bands, r).astype(np.int64)
+        return w, (bits << np.arange(r)).sum(axis=2) + (np.arange(bands) << 32)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k, n = np.unique(keys(batch)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": k, "n": n})
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            bits = np.unpackbits(w, axis=1, bitorder="little")[:, : r * bands].reshape(batch.num_rows, bands, r).astype(np.int64)
-            key = (bits << np.arange(r)).sum(axis=2) + (np.arange(bands) << 32)
+            w, key = keys(batch)
             first = [x.tobytes() for x in np.ascontiguousarray(w[:, :32])]
             rep = batch.column("rep").to_numpy()
             for at in range(0, bands, 8):
@@ -322,7 +332,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 if len(u):
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i[u]], ids[j[u]]), "b": np.maximum(ids[i[u]], ids[j[u]])})
 
-    rows = reps.where("n > 0").select("rep", "wide").mapInArrow(banded, "key long, rep long, f binary")
+    fps = reps.where("n > 0").select("rep", "wide")
+    rows = fps.mapInArrow(banded, "key long, rep long, f binary")
+    hot = materialise(fps.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("rows")).where(F.col("rows") > tile))
+    if not hot.isEmpty():
+        # a bucket of over ``tile`` rows is cut into tiles; every two tiles meet in a task of their own
+        tiles = F.ceil(F.col("rows") / tile).cast("int")
+        own = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+        met = rows.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0))))})
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        rows = met.select(F.when(F.col("rows").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", "f")
     pairs = rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep").mapInArrow(candidates, "a long, b long")
     pairs = materialise(pairs.distinct())
 

@@ -101,6 +101,8 @@ def test_near_duplicates(table):
     comp = smallest([(a, b) for a in sets for b in sets if a < b and sim(sets[a], sets[b]) >= 0.8], sets)
     got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()}
     assert got == comp
+    # hot buckets in tiles find the same
+    assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs), tile=5).collect()} == comp
     kept = simhash.one_of_each(table(docs, extra=True))
     assert {r["doc_id"] for r in kept.collect()} == {k for k in comp if comp[k] == k} and "near_row" in kept.columns
     again = [(1, "b c d e f g"), (1, "b c d e f g"), (1, "other words are here now"), (None, None), (None, None)]
