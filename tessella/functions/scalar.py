@@ -31,6 +31,32 @@ def coerce(x: Column, dtype: str) -> Column:
     return x.cast(dtype)
 
 
+def lift(x: Any) -> Any:
+    """Host values, and tuples of them, as columns."""
+    return tuple(lift(y) for y in x) if isinstance(x, tuple) else _c(x)
+
+
+def unlift(x: Column, n: int) -> tuple[Column, ...]:
+    """The components of a struct column with fields e0, e1, ..."""
+    return tuple(x[f"e{k}"] for k in range(n))
+
+
+def lift_function(f: Any) -> Any:
+    """A function of tuples as a function of columns: arguments and results are lifted, of any number."""
+    return lambda *xs: lift(f(*[lift(x) for x in xs]))
+
+
+lift1 = lift2 = lift3 = lift_function
+
+
+def ilift(f: Any) -> Any:
+    """A function of integers as one of rank-1 indices."""
+    return lambda *ixs: (f(*[ix[0] for ix in ixs]),)
+
+
+ilift1 = ilift2 = ilift3 = ilift
+
+
 # ---------------------------------------------------------------- numbers
 
 
@@ -143,6 +169,12 @@ def power(a: Any, n: Any) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step)["r"]
 
 
+def power_signed(a: Any, n: Any) -> Column:
+    """a ** n of a float for whole n of either sign."""
+    p = F.pow(_c(a).cast("double"), F.abs(_c(n)))
+    return F.when(_c(n) >= 0, p).otherwise(fdiv(1.0, p))
+
+
 # ---------------------------------------------------------------- floats
 
 

@@ -142,6 +142,20 @@ def offsets(seg: Arr) -> DataFrame:
     return s.select(F.col("i0").alias("seg"), (F.col("v") - F.col("len_")).alias("start"), F.col("v").alias("end"))
 
 
+def head_flags(seg: Arr, n: int) -> Arr:
+    """A vector of n flags: how many segments begin at each position (over 1 where empty ones do)."""
+    starts = offsets(seg).where(F.col("start") < n).groupBy(F.col("start").alias("i0")).agg(F.count("*").alias("v"))
+    frame = seg.spark.range(n).select(F.col("id").alias("i0"))
+    return Arr.of(frame.join(starts, "i0", "left").select("i0", F.coalesce("v", F.lit(0).cast("long")).alias("v")), (n,), 1)
+
+
+def tail_flags(seg: Arr, n: int) -> Arr:
+    """How many segments end at each position."""
+    ends = offsets(seg).where((F.col("end") > 0) & (F.col("end") <= n)).groupBy((F.col("end") - 1).alias("i0")).agg(F.count("*").alias("v"))
+    frame = seg.spark.range(n).select(F.col("id").alias("i0"))
+    return Arr.of(frame.join(ends, "i0", "left").select("i0", F.coalesce("v", F.lit(0).cast("long")).alias("v")), (n,), 1)
+
+
 def from_offsets(off: Arr) -> DataFrame:
     """(seg, start, end) from n + 1 offsets."""
     d = off.df.select(F.col("i0"), F.col("v").cast("long").alias("v"))

@@ -33,9 +33,19 @@ def flatten(a: Arr) -> Arr:
     return a if a.rank == 1 else reshape(a, (a.size,))
 
 
+def _spelled(spec: Sequence[Any], rank: int, keeps: bool) -> list[Any]:
+    """``...`` in front stands for all leading dimensions; ``keeps`` says that only All takes up a dimension of the array."""
+    spec = list(spec)
+    if spec and spec[0] is ...:
+        rest = spec[1:]
+        spec = [All] * (rank - (sum(isinstance(s, slice) for s in rest) if keeps else len(rest))) + rest
+    return spec
+
+
 def replicate(spec: Sequence[Any], a: Arr) -> Arr:
-    """``spec`` lists the dimensions of the result: a number of copies, or All for the next dimension of ``a``."""
-    if sum(s is All or s == All for s in spec) != a.rank:
+    """``spec`` lists the dimensions of the result: a number of copies, or All for the next dimension of ``a``; ``...`` in front for all leading ones."""
+    spec = _spelled(spec, a.rank, True)
+    if sum(isinstance(s, slice) for s in spec) != a.rank:
         raise ValueError("one All for each dimension of the array")
     df, ext, order, k = a.df, [], [], 0
     for j, s in enumerate(spec):
@@ -52,7 +62,8 @@ def replicate(spec: Sequence[Any], a: Arr) -> Arr:
 
 
 def aslice(a: Arr, spec: Sequence[Any]) -> Arr:
-    """``spec`` has a position, or All, for each dimension; dimensions with a position go."""
+    """``spec`` has a position, or All, for each dimension; dimensions with a position go. ``...`` in front stands for all leading ones."""
+    spec = _spelled(spec, a.rank, False)
     dims, ext, where = [], [], []
     for d, n, s in zip(a.dims, a.known, spec, strict=True):
         if isinstance(s, slice):
