@@ -48,19 +48,20 @@ def _mark_hash(kind: int) -> int:
     return xxhash.xxh3_64_intdigest(MARKS[kind].encode())
 
 
-class Words:
-    """Tokens of raw words, looked up once per distinct word."""
+class Words(dict):
+    """Numbers of raw words, each of which is analysed once. ``meta`` and ``hash`` hold, by number, what its tokens are."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 7), np.uint64)
+        super().__init__()
+        self.rows: list[tuple] = []  # those that aren't in the arrays yet
+        self.meta = np.zeros((0, 5), np.uint8)  # tokens, ends a sentence, is capitalised, kinds of both tokens
+        self.hash = np.zeros((0, 2), np.uint64)
 
-    def add(self, raw: bytes) -> int:
+    def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
         core = word.rstrip(",.;:!?")
         if core.isalpha() and (low := core.lower()) not in SPELLED:  # the common case of what follows
-            self.known[raw] = at = len(self.rows)
+            self[raw] = at = len(self)
             self.rows.append((1, word[-1] in ENDS, core[0].isupper(), 5 if low in UNITS else 0, xxhash.xxh3_64_intdigest(low.encode()), 0, 0))
             return at
         ends = word.rstrip("\"')]}»”’").endswith(ENDS)
@@ -78,20 +79,30 @@ class Words:
             else:
                 low = plain.lower()
                 row = (1, ends, plain[0].isupper(), 5 if low in UNITS else 0, xxhash.xxh3_64_intdigest(low.encode()), 0, 0)
-        self.known[raw] = at = len(self.rows)
+        self[raw] = at = len(self)
         self.rows.append(row)
         return at
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.rows) > CACHE:
+        if len(self) > CACHE:
+            self.clear()
             self.__init__()
-        known, add = self.known, self.add
-        out = np.fromiter((known[w] if w in known else add(w) for w in words), np.int64, len(words))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], np.uint64)))
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.rows:
+            self.meta = np.concatenate((self.meta, np.array([(r[0], r[1], r[2], r[3], r[5]) for r in self.rows], np.uint8)))
+            self.hash = np.concatenate((self.hash, np.array([(r[4], r[6]) for r in self.rows], np.uint64)))
+            self.rows = []
         return out
 
 
+_words = Words()
+
+
+def vocabulary() -> Words:
+    """The words of this worker, which its tasks share."""
+    return _words
+
+
 def literal(word: bytes) -> str:
     return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
 
@@ -108,23 +119,23 @@ class Tokens:
         self.words = [w for t in texts for w in t]
         size = np.array([len(t) for t in texts], np.int64)
         code = vocab.codes(self.words)
-        row = vocab.table[code]
-        text = np.repeat(np.arange(len(texts)), size)
+        meta, value = vocab.meta[code], vocab.hash[:, 0][code]
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         first = np.ones(len(code), bool)
         if len(code):
-            first[1:] = (row[:-1, 1] > 0) | (text[1:] != text[:-1])
-        count = row[:, 0].astype(np.int64)
-        self.word = np.repeat(np.arange(len(code)), count)
+            first[1:] = (meta[:-1, 1] > 0) | (text[1:] != text[:-1])
+        self.word = np.repeat(np.arange(len(code)), meta[:, 0])
         second = np.zeros(len(self.word), bool)
         second[1:] = self.word[1:] == self.word[:-1]
-        r = row[self.word]
-        kind = np.where(second, r[:, 5], r[:, 3]).astype(np.int64)
-        self.hash = np.where(second, r[:, 6], r[:, 4])
-        cap = (r[:, 2] > 0) & ((kind == 0) | (kind == 5))
+        kind, self.hash, cap = meta[self.word, 3], value[self.word], meta[self.word, 2] > 0
+        if second.any():
+            kind[second], self.hash[second] = meta[self.word[second], 4], vocab.hash[code[self.word[second]], 1]
+        cap &= (kind == 0) | (kind == 5)
         kind[cap] = np.where(first[self.word[cap]], OPEN, NAME)
         after = np.zeros(len(kind), bool)
         after[1:] = kind[:-1] == NUM
-        kind = np.where(kind == 5, np.where(after, UNIT, 0), kind)
+        units = kind == 5
+        kind[units] = np.where(after[units], UNIT, 0)
         for k in (NUM, UNIT):
             self.hash[kind == k] = U(_mark_hash(k))
         self.plain = self.hash.copy()
@@ -137,17 +148,23 @@ class Tokens:
         m = len(self.hash) - width + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.zeros(m, np.uint64)
-        for k in range(width):
-            h += (self.plain if plain else self.hash)[k : k + m] * POWERS[k]
+        x = self.plain if plain else self.hash
+        if width == WINDOW == 8:  # pairs, fours, eights
+            for k in (1, 2, 4):
+                x = x[:-k] + x[k:] * POWERS[k]
+            h = x
+        else:
+            h = np.zeros(m, np.uint64)
+            for k in range(width):
+                h += x[k : k + m] * POWERS[k]
         h ^= h >> U(29)
         h *= U(0xBF58476D1CE4E5B9)
         h ^= h >> U(32)
         cap = self.kind >= NAME
-        sums = np.concatenate(([0], np.cumsum((self.kind == 0) | (cap & plain))))
+        sums = np.concatenate(([0], np.cumsum((self.kind == 0) | cap if plain else self.kind == 0, dtype=np.int32)))
         ok = (self.text[width - 1 :] == self.text[:m]) & (sums[width:] - sums[:m] >= (LITERAL if width == WINDOW else max(3, width - 3)))
         if plain:
-            caps = np.concatenate(([0], np.cumsum(cap)))
+            caps = np.concatenate(([0], np.cumsum(cap, dtype=np.int32)))
             ok &= caps[width:] > caps[:m]
         at = np.flatnonzero(ok)
         return at, h[at]
@@ -203,7 +220,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
     """(hash, item_id, pos, width, template, slots) of every window of every item; an item without words, or with too few literal ones, has none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Words()
+        vocab = vocabulary()
         for batch in batches:
             ids, rows = batch.column("item_id").to_pylist(), []
             for item, raw in zip(ids, utf8(batch.column("text"))):
@@ -244,7 +261,7 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # 32 MiB at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held = Words(), shared.value
+        vocab, held = vocabulary(), shared.value
         for batch in batches:
             ids, keys, rows = batch.column("d"), batch.column("x"), []
             for which, words, offs in slabs(utf8(batch.column("text"))):
