@@ -164,7 +164,7 @@ query("shape", f"SELECT {NV} AS n0, CAST(64 AS BIGINT) AS n1, {NV} * 64 AS size"
 # ---------------------------------------------------------------- gather, scatter, filter
 
 query("backpermute", f"SELECT range AS i0, v FROM range({NO} // 3) JOIN {ORD} o ON o.i0 = range * 3")(lambda t: (lambda o: p.backpermute((o.extent[0] // 3,), lambda i: i * F.lit(3), o))(t.orders))
-query("backpermute_affine", f"SELECT 99 - i0 AS i0, v FROM {ORD} WHERE i0 < 100")(lambda t: p.backpermute((100,), lambda i: 99 - i, t.orders))
+query("backpermute_affine", f"SELECT {NO} - 1 - i0 AS i0, v FROM {ORD} WHERE i0 >= 3")(lambda t: (lambda o: p.backpermute((o.extent[0] - 3,), lambda i: o.extent[0] - 1 - i, o))(t.orders))
 query("gather", f"SELECT o.i0, b.v FROM {ORD} o JOIN {EV} b ON b.i0 = o.v % {NE}")(lambda t: (lambda ev: p.gather(e.amap(lambda v: v % ev.extent[0], t.orders), ev))(t.events))
 query("gather_if", f"SELECT o.i0, CASE WHEN o.v % 2 = 0 THEN b.v ELSE -1 END AS v FROM {ORD} o JOIN {EV} b ON b.i0 = o.v % {NE}")(
     lambda t: (lambda o, ev: p.gather_if(e.amap(lambda v: v % ev.extent[0], o), o, fs.even, e.amap(lambda v: F.lit(-1).cast("long"), o), ev))(t.orders, t.events)
@@ -198,7 +198,7 @@ query("fold1", f"SELECT i0, max(v) AS v FROM {MAT} GROUP BY i0")(lambda t: r.fol
 query("fold_all", f"SELECT CAST(sum(v) AS BIGINT) AS v FROM {MAT}")(lambda t: r.fold_all("sum", 0, t.matrix))
 query("fold1_all", f"SELECT min(v) AS v FROM {MAT}")(lambda t: r.fold1_all("min", t.matrix))
 query("sum", f"SELECT CAST(sum(v) AS BIGINT) AS v FROM {ORD}")(lambda t: r.sum(t.orders))
-query("product", f"SELECT i0, CAST(product(1 + abs(v) % 2) AS BIGINT) AS v FROM {MAT} WHERE i1 < 32 GROUP BY i0")(lambda t: r.product(e.amap(lambda v: 1 + F.abs(v) % 2, s.take(t.matrix, 32))))
+query("product", f"SELECT i0, CAST(product(CASE WHEN v % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS v FROM {MAT} GROUP BY i0")(lambda t: r.product(e.amap(lambda v: F.when(v % 3 == 0, F.lit(2).cast("long")).otherwise(F.lit(1).cast("long")), t.matrix)))
 query("minimum", f"SELECT i0, min(v) AS v FROM {MAT} GROUP BY i0")(lambda t: r.minimum(t.matrix))
 query("maximum", f"SELECT max(v) AS v FROM {ORD}")(lambda t: r.maximum(t.orders))
 query("all", f"SELECT i0, bool_and(v < 200) AS v FROM {MAT} GROUP BY i0")(lambda t: r.all(lambda v: v < 200, t.matrix))
