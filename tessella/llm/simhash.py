@@ -257,13 +257,23 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
 
 # ---------------------------------------------------------------- near-duplicates by shingle similarity
 
-#: Share of links at exactly the threshold that no band of bits finds.
+#: Edge-disjoint spanning forests of each bucket whose edges are checked.
+FORESTS = 4
+#: Chance that a pair at exactly the threshold, of the sizes for which bits agree least, meets in no band.
 MISS = 0.005
 
 
 def _bit_error(similarity: float) -> float:
-    """Chance that a fingerprint bit differs between sets of this Jaccard similarity and equal size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Largest chance that a fingerprint bit differs between two sets of at least this Jaccard similarity: that of large sets of equal size, or of small sets, whose majorities are often ties."""
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    for c in range(1, 13):
+        for x in range(0, 13 - c):
+            for y in range(x, 13 - c - x):
+                if c >= similarity * (c + x + y):
+                    differ = sum(u * v * w for k, u in enumerate(chance(c)) for i, v in enumerate(chance(x)) for j, w in enumerate(chance(y)) if (2 * (k + i) > c + x) != (2 * (k + j) > c + y))
+                    worst = max(worst, differ)
+    return worst
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 1 << 14) -> DataFrame:
@@ -271,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
 
     Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
     meets in some band with probability 1 - MISS, bit-sliced comparison on 256 of the bits keeps the pairs within the
-    radius of the threshold and three deviations, and two edge-disjoint minimum spanning forests of each bucket go on
+    radius of the threshold and three deviations, and FORESTS edge-disjoint minimum spanning forests of each bucket go on
     to an exact check of the similarity on the texts. Texts with equal shingle sets are collapsed first, so groups
     of copies cost one row. Texts without words are linked to each other. Needs doc_id: rows where it is null are
     each their own class (class_id null).
@@ -280,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     d = documents(docs).where("doc_id is not null")
     p = _bit_error(similarity)
     n_docs = d.count()
-    r = min(24, max(10, math.ceil(math.log2(max(n_docs, 1) / 64 + 1))))
+    r = min(24, max(10, math.ceil(math.log2(max(n_docs, 1) / 256 + 1))))
     bands = math.ceil(math.log(MISS) / math.log(1 - (1 - p) ** r))
     n_words = max(4, -(-r * bands // 64))
     radius = math.ceil(256 * p + 3 * math.sqrt(256 * p * (1 - p)))
@@ -321,16 +331,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
         for key, rep, f in grouped(batches, "key", "rep", "f"):
             k, ids = key.to_numpy(), rep.to_numpy()
             fps = np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(k), -1)
-            first, second = np.arange(len(k)), np.arange(len(k))
+            forests = [np.arange(len(k)) for _ in range(FORESTS)]
             for i, j in close_pairs(k, fps, radius):
-                order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
-                i, j = i[order], j[order]
-                used = _join(first, i, j)
-                rest = np.setdiff1d(np.arange(len(i)), used)
-                again = rest[_join(second, i[rest], j[rest])]
-                u = np.concatenate((np.array(used, np.int64), again.astype(np.int64)))
-                if len(u):
+                rest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
+                for forest in forests:
+                    used = _join(forest, i[rest], j[rest])
+                    if not used:
+                        break
+                    u = rest[used]
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i[u]], ids[j[u]]), "b": np.maximum(ids[i[u]], ids[j[u]])})
+                    rest = np.delete(rest, used)
 
     fps = reps.where("n > 0").select("rep", "wide")
     rows = fps.mapInArrow(banded, "key long, rep long, f binary")
