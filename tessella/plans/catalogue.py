@@ -312,7 +312,20 @@ query("smvm", f"SELECT o.o_orderkey AS i0, CAST(coalesce(sum(l.q * b.v), 0) AS B
 query("smvm_segments", f"SELECT g.seg AS i0, CAST(coalesce(sum(o.v * b.v), 0) AS BIGINT) AS v FROM {SEG} g LEFT JOIN {ORD} o ON o.i0 >= g.lo AND o.i0 < g.hi LEFT JOIN {PART} b ON b.i0 = o.v % (SELECT count(*) FROM part) GROUP BY g.seg")(
     lambda t: (lambda o, x: programs.smvm_segments(t.segments(o.extent[0]), e.amap(lambda v: v % x.extent[0], o), o, x))(t.orders, t.parts)
 )
-query("blackscholes", None)(lambda t: e.amap(lambda v: (F.round(v[0], 6), F.round(v[1], 6)), programs.black_scholes(e.imap(lambda ix, v: (5 + v % 26, 1 + ix[0] % 100, (1 + v % 40) / 4), t.orders))))
+def _cnd(d: str) -> str:
+    k = f"(1.0 / (1.0 + 0.2316419::DOUBLE * abs({d})))"
+    poly = f"{k} * (0.31938153::DOUBLE + {k} * (-0.356563782::DOUBLE + {k} * (1.781477937::DOUBLE + {k} * (-1.821255978::DOUBLE + {k} * 1.330274429::DOUBLE))))"
+    tail = f"(0.39894228040143267794::DOUBLE * exp(-0.5::DOUBLE * {d} * {d}) * {poly})"
+    return f"CASE WHEN {d} > 0 THEN 1.0 - {tail} ELSE {tail} END"
+
+
+_BS = f"""WITH o AS (SELECT i0, CAST(5 + v % 26 AS DOUBLE) AS s, CAST(1 + i0 % 100 AS DOUBLE) AS x, CAST(1 + v % 40 AS DOUBLE) / 4 AS t FROM {ORD}),
+d AS (SELECT *, 0.30::DOUBLE * sqrt(t) AS root, (ln(s / x) + (0.02::DOUBLE + 0.5::DOUBLE * 0.30::DOUBLE * 0.30::DOUBLE) * t) / (0.30::DOUBLE * sqrt(t)) AS d1 FROM o),
+f AS (SELECT *, d1 - root AS d2, exp(-0.02::DOUBLE * t) AS disc FROM d),
+c AS (SELECT *, {_cnd("d1")} AS a, {_cnd("d2")} AS b FROM f)
+SELECT i0, round(s * a - x * disc * b, 6) AS v_1, round(x * disc * (1.0 - b) - s * (1.0 - a), 6) AS v_2 FROM c"""
+
+query("blackscholes", _BS)(lambda t: e.amap(lambda v: (F.round(v[0], 6), F.round(v[1], 6)), programs.black_scholes(e.imap(lambda ix, v: (5 + v % 26, 1 + ix[0] % 100, (1 + v % 40) / 4), t.orders))))
 query("radixsort", f"SELECT row_number() OVER (ORDER BY c.v, i0) - 1 AS i0, c.v AS v_1, i0 AS v_2 FROM {CUST} c")(lambda t: programs.radix_sort_by(lambda v: v[0], e.imap(lambda ix, v: (v, ix[0]), t.customers), bits=16))
 query("sort_by", f"SELECT row_number() OVER (ORDER BY v, i0) - 1 AS i0, v FROM {ORD}")(lambda t: programs.sort_by(t.orders, F.col("v")))
 
