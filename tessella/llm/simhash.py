@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import LOWER, documents, fresh, materialise, parts, utf8
+from .common import LOWER, discard, documents, fresh, materialise, parts, utf8
 from .components import components
 
 STEP = 1 << 16
@@ -257,7 +257,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
 
 # ---------------------------------------------------------------- near-duplicates by shingle similarity
 
-#: Edge-disjoint spanning forests of each bucket whose edges are checked.
+#: Edge-disjoint spanning forests of each bucket whose edges are checked first.
 FORESTS = 4
 #: Chance that a pair at exactly the threshold, of the sizes for which bits agree least, meets in no band.
 MISS = 0.005
@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
 
     Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
     meets in some band with probability 1 - MISS, bit-sliced comparison on 256 of the bits keeps the pairs within the
-    radius of the threshold and three deviations, and FORESTS edge-disjoint minimum spanning forests of each bucket go on
-    to an exact check of the similarity on the texts. Texts with equal shingle sets are collapsed first, so groups
+    radius of the threshold and three deviations. An exact check on the texts decides in two rounds: first over the
+    edges of FORESTS edge-disjoint spanning forests of each bucket, then over every pair that the links found so far
+    don't connect, so a rejected edge costs no link. Texts with equal shingle sets are collapsed first, so groups
     of copies cost one row. Texts without words are linked to each other. Needs doc_id: rows where it is null are
     each their own class (class_id null).
     """
@@ -325,14 +326,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
             for at in range(0, bands, 8):
                 k = key[:, at : at + 8]
                 m = k.shape[1]
-                yield pa.RecordBatch.from_pydict({"key": k.reshape(-1), "rep": np.repeat(rep, m), "f": pa.array([x for x in first for _ in range(m)], pa.binary())})
+                more = {x: np.repeat(batch.column(x).to_numpy(), m) for x in ("n", "class")}
+                yield pa.RecordBatch.from_pydict({"key": k.reshape(-1), "rep": np.repeat(rep, m), "f": pa.array([x for x in first for _ in range(m)], pa.binary()), **more})
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rep, f in grouped(batches, "key", "rep", "f"):
-            k, ids = key.to_numpy(), rep.to_numpy()
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Ids of the rows of some buckets, their fingerprints, and pairs of them within the radius that are of two classes and of sizes that allow the similarity."""
+        for key, rep, f, n, own in grouped(batches, "key", "rep", "f", "n", "class"):
+            k, ids, size, c = (x.to_numpy() for x in (key, rep, n, own))
             fps = np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(k), -1)
-            forests = [np.arange(len(k)) for _ in range(FORESTS)]
-            for i, j in close_pairs(k, fps, radius):
+            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            mixed_ = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), np.diff(np.append(start, len(k))))
+            k, ids, size, c, fps = k[mixed_], ids[mixed_], size[mixed_], c[mixed_], np.ascontiguousarray(fps[mixed_])
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for i, j in close_pairs(k, fps, radius):
+                    ok = (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                    yield i[ok], j[ok]
+
+            yield ids, fps, pairs()
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, found in near(batches):
+            for i, j in found:
+                for at in range(0, len(i), STEP):
+                    x, y = ids[i[at : at + STEP]], ids[j[at : at + STEP]]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, fps, found in near(batches):
+            forests = [np.arange(len(ids)) for _ in range(FORESTS)]
+            for i, j in found:
                 rest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
                 for forest in forests:
                     used = _join(forest, i[rest], j[rest])
@@ -342,32 +365,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i[u]], ids[j[u]]), "b": np.maximum(ids[i[u]], ids[j[u]])})
                     rest = np.delete(rest, used)
 
-    fps = reps.where("n > 0").select("rep", "wide")
-    rows = fps.mapInArrow(banded, "key long, rep long, f binary")
+    fps = reps.where("n > 0").select("rep", "wide", "n", F.col("rep").alias("class"))
     hot = materialise(fps.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("rows")).where(F.col("rows") > tile))
-    if not hot.isEmpty():
-        # a bucket of over ``tile`` rows is cut into tiles; every two tiles meet in a task of their own
-        tiles = F.ceil(F.col("rows") / tile).cast("int")
-        own = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("rep"), tiles).cast("int"))
-        met = rows.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0))))})
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        rows = met.select(F.when(F.col("rows").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", "f")
-    pairs = rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep").mapInArrow(candidates, "a long, b long")
-    pairs = materialise(pairs.distinct())
+    any_hot = not hot.isEmpty()
+
+    def buckets(fps: DataFrame) -> DataFrame:
+        rows = fps.mapInArrow(banded, "key long, rep long, f binary, n int, class long")
+        if any_hot:
+            # a bucket of over ``tile`` rows is cut into tiles; every two tiles meet in a task of their own
+            tiles = F.ceil(F.col("rows") / tile).cast("int")
+            own = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+            met = rows.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0))))})
+            pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+            rows = met.select(F.when(F.col("rows").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", "f", "n", "class")
+        return rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep")
 
     @arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
+        out, sets = [], {}
         for s, t in zip(utf8(x), utf8(y)):
-            u, v = (np.unique(np.concatenate([*shingle_hashes(z, words)])) for z in (s, t))
+            for z in (s, t):
+                if z not in sets:
+                    sets[z] = np.unique(np.concatenate([*shingle_hashes(z, words)]))
+            u, v = sets[s], sets[t]
             both = len(np.intersect1d(u, v, assume_unique=True))
             out.append(both >= similarity * (len(u) + len(v) - both))
         return pa.array(out, pa.bool_())
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(d.join(ends.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))  # one plan at every size: both sides go by doc_id
-    held = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").where(similar("x", "y")).select("a", "b")
-    comp = components(held)
+    def checked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = materialise(d.join(ends.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))  # one plan at every size: both sides go by doc_id
+        held = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").where(similar("x", "y")).select("a", "b")
+        held = materialise(held)
+        discard(texts)
+        return held
+
+    first = materialise(buckets(fps).mapInArrow(candidates, "a long, b long").distinct())
+    held = checked(first)
+    comp = materialise(components(held))
+    classed = fps.drop("class").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "wide", "n", F.coalesce("component", "rep").alias("class"))
+    # equal classes are linked already, so what is left is every pair that could still change a class
+    second = materialise(buckets(classed).mapInArrow(remaining, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        comp = components(held.unionAll(checked(second)))
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("g"), F.coalesce("component", "rep").alias("class_id"))
     done = sig.join(label, F.col("digest") == F.col("g")).select("doc_id", "class_id")
     return done.unionAll(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))

@@ -109,6 +109,28 @@ def test_near_duplicates(table):
     assert sorted(r["doc_id"] or 0 for r in simhash.one_of_each(table(again)).collect()) == [0, 0, 1]
 
 
+def test_near_duplicates_among_many_poor_pairs(table):
+    """Variants of one text, nearly all of them just below the threshold: rejected candidates may not crowd out the few links."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    docs = []
+    for k in range(500):
+        w = base.copy()
+        for p in rng.sample(range(2, 400, 5), 6):
+            w[p] = f"v{k}x{p}"
+        docs.append((k, " ".join(w)))
+    number: dict = {}
+    at = [[number.setdefault(tuple(w[j : j + 5]), len(number)) for j in range(396)] for w in (t.split() for _, t in docs)]
+    held = np.zeros((len(docs), len(number)), np.float32)
+    for k, x in enumerate(at):
+        held[k, x] = 1
+    both = held @ held.T
+    i, j = np.nonzero(np.triu(both >= 0.8 * (2 * 396 - both), 1))
+    comp = smallest(list(zip(i.tolist(), j.tolist())), range(len(docs)))
+    assert len(i) > 50 and len({*comp.values()}) > 300
+    assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()} == comp
+
+
 def brute_removed(docs):
     first = {}
     for k, t in sorted(docs, key=lambda d: d[0]):
