@@ -3,8 +3,9 @@
 A text becomes a sequence of tokens: lower-cased words without punctuation, or typed placeholders for numbers, units
 after a number, names (capitalised within a sentence) and capitalised sentence openers; windows with names or openers are also
 taken with those as plain words, so a change of case hides nothing. Windows of ``WINDOW`` tokens
-are hashed and joined to those of the benchmark's items; items of fewer tokens are one window. Along each alignment
-of a document with an item the slots must be consistent: every value of the item stands for one value of the document
+are hashed and joined to those of the benchmark's items; items of fewer tokens are one window. A window without slots,
+or with the item's own values in them, is a leak by itself. Any other must be consistent along its alignment
+of document and item: every value of the item in it stands for one value of the document
 and the other way round. So a question with other numbers or names is caught, and chance agreement of templates isn't.
 
 A bitmap of the benchmark's hashes (at most 32 MiB, whatever the benchmark's size) keeps other windows out of the join;
@@ -283,20 +284,29 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """(d, x, items, windows, reparameterised): documents (doc_id and hash of the text) that hold a slot-consistent window of some item.
+    """(d, x, items, windows, reparameterised): documents (doc_id and hash of the text) that hold a literal or slot-consistent window of some item.
 
-    Slots are consistent along an alignment (document, item, offset) if values of item and document are paired one to
-    one. reparameterised says that some slot differs in every item found. Null texts and items have no windows.
+    A window is literal if its slots hold the item's own values, or if it has none. It is slot-consistent if each of its
+    values is paired with one value only in all windows of its alignment (document, item, offset); a conflict
+    takes away the windows that hold it, no others. reparameterised says that some slot differs in every item found.
+    Null texts and items have no windows.
     """
     b = materialise(benchmark_windows(bench))
     found = document_windows(docs, b)
     item = b.select(F.col("hash").alias("h"), "item_id", F.col("pos").alias("at"), F.col("template").alias("t"), F.col("slots").alias("s"))
     met = found.join(item, (F.col("hash") == F.col("h")) & (F.col("template") == F.col("t")))
-    pairs = F.arrays_zip(F.col("s").alias("b"), F.col("slots").alias("d"))
-    runs = met.groupBy("d", "x", "item_id", (F.col("pos") - F.col("at")).alias("off")).agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"), F.countDistinct("at").alias("n"))
-    size = F.size("p")
-    fine = runs.where((F.size(F.array_distinct(F.transform("p", lambda z: z["b"]))) == size) & (F.size(F.array_distinct(F.transform("p", lambda z: z["d"]))) == size))
-    changed = F.exists("p", lambda z: z["b"] != z["d"])
+    runs = met.groupBy("d", "x", "item_id", (F.col("pos") - F.col("at")).alias("off")).agg(F.collect_set(F.struct("at", "s", "slots")).alias("w"))
+
+    def several(ends: Column) -> Column:
+        """Values that stand in more than one pair."""
+        by = F.array_sort(ends)
+        return F.array_distinct(F.filter(by, lambda v, k: (k > 0) & (v == F.get(by, k - 1))))
+
+    pairs = runs.withColumn("p", F.array_distinct(F.flatten(F.transform("w", lambda w: F.arrays_zip(w["s"].alias("b"), w["slots"].alias("d"))))))
+    torn = pairs.select("d", "x", "item_id", "w", several(F.transform("p", lambda z: z["b"])).alias("tb"), several(F.transform("p", lambda z: z["d"])).alias("td"))
+    fits = F.filter("w", lambda w: (w["s"] == w["slots"]) | ~(F.arrays_overlap(w["s"], F.col("tb")) | F.arrays_overlap(w["slots"], F.col("td"))))
+    fine = torn.select("d", "x", "item_id", fits.alias("w")).where(F.size("w") > 0).withColumn("n", F.size(F.array_distinct(F.transform("w", lambda w: w["at"]))))
+    changed = F.exists("w", lambda w: w["s"] != w["slots"])
     return fine.groupBy("d", "x").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("n").alias("windows"), F.min(changed).alias("reparameterised"))
 
 

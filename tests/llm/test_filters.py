@@ -39,6 +39,19 @@ def test_slots_must_be_consistent(table, spark):
     assert got == {1: True, 2: False}
 
 
+def test_conflict_costs_only_its_own_windows(table, spark):
+    rng = random.Random(4)
+    item = "They counted 3 boats " + prose(rng, 20)[:-1] + " and again 3 boats " + prose(rng, 20)[:-1] + " while 9 men looked on from the old stone pier"
+    edited = item.replace("3", "4", 1)
+    docs = [(1, edited), (2, item.replace("9", "12").replace("3", "4", 1)), (3, prose(rng, 60))]
+    # only the windows around 9 are left of the item
+    end = " ".join(item.split()[-10:])
+    docs += [(4, "if it has 3 then 3 " + end.replace("9", "12"))]
+    got = {r["doc_id"]: r["leak"] for r in decontaminate.decontaminate(table(docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {k: v["contaminated"] for k, v in got.items()} == {1: True, 2: True, 3: False, 4: True}
+    assert got[2]["reparameterised"]
+
+
 def brute_url(url):
     _, mark, rest = (url or "").partition("://")
     host = re.match(r"[^/?#]*", rest)[0] if mark else ""
