@@ -2,7 +2,9 @@
 
 A text becomes a sequence of tokens: lower-cased words without punctuation, or typed placeholders for numbers, units
 after a number, names (capitalised within a sentence) and capitalised sentence openers; windows with names or openers are also
-taken with those as plain words, so a change of case hides nothing. Windows of ``WINDOW`` tokens
+taken with those as plain words, so a change of case hides nothing. A window that has too few literal words is widened
+until it has enough, up to ``WIDEST`` tokens; if numbers and units alone make them too few, it is also taken
+with its values as they stand, so an item of three tokens or more has a window whatever it is made of. Windows of ``WINDOW`` tokens
 are hashed and joined to those of the benchmark's items; items of fewer tokens are one window. A window without slots,
 or with the item's own values in them, is a leak by itself. Any other must be consistent along its alignment
 of document and item: every value of the item in it stands for one value of the document
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from .common import fresh, materialise, utf8
 WINDOW = 8
 #: Literal words that a window needs: templates of placeholders alone say nothing.
 LITERAL = 5
+#: Tokens of the widest window.
+WIDEST = 32
+#: Forms of a window: with placeholders, with names and openers as plain words, with every value as it stands.
+TYPED, PLAIN, EXACT = 0, 1, 2
 MAX_BITS = 28
 
 NUM, UNIT, NAME, OPEN = 1, 2, 3, 4
@@ -42,13 +47,25 @@ CACHE = 1 << 19
 SLAB = 1 << 17
 
 U = np.uint64
-POWERS = [U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WINDOW)]
+POWERS = [U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WIDEST)]
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> U(32))
 
 
 def _mark_hash(kind: int) -> int:
     return xxhash.xxh3_64_intdigest(MARKS[kind].encode())
 
 
+def values(word: str) -> tuple[str, str]:
+    """What stands in the slot of a word, and in the second if the word is a number with its unit."""
+    core = word.strip("".join({c for c in word if not c.isalnum()})).lower()
+    fused = FUSED.fullmatch(core)
+    return (fused[1], fused[2]) if fused and fused[2] in UNITS else (core, "")
+
+
 class Words(dict):
     """Numbers of raw words, each of which is analysed once. ``meta`` and ``hash`` hold, by number, what its tokens are."""
 
@@ -56,7 +73,7 @@ class Words(dict):
         super().__init__()
         self.rows: list[tuple] = []  # those that aren't in the arrays yet
         self.meta = np.zeros((0, 5), np.uint8)  # tokens, ends a sentence, is capitalised, kinds of both tokens
-        self.hash = np.zeros((0, 2), np.uint64)
+        self.hash = np.zeros((0, 3), np.uint64)  # of both tokens, and of the first one's value
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
@@ -80,6 +97,8 @@ class Words(dict):
             else:
                 low = plain.lower()
                 row = (1, ends, plain[0].isupper(), 5 if low in UNITS else 0, xxhash.xxh3_64_intdigest(low.encode()), 0, 0)
+        if row[3] == NUM:
+            row = (*row, xxhash.xxh3_64_intdigest(values(word)[0].encode()))
         self[raw] = at = len(self)
         self.rows.append(row)
         return at
@@ -91,7 +110,7 @@ class Words(dict):
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.rows:
             self.meta = np.concatenate((self.meta, np.array([(r[0], r[1], r[2], r[3], r[5]) for r in self.rows], np.uint8)))
-            self.hash = np.concatenate((self.hash, np.array([(r[4], r[6]) for r in self.rows], np.uint64)))
+            self.hash = np.concatenate((self.hash, np.array([(r[4], r[6], r[7] if len(r) > 7 else r[4]) for r in self.rows], np.uint64)))
             self.rows = []
         return out
 
@@ -143,48 +162,69 @@ class Tokens:
         for k in (NAME, OPEN):
             self.hash[kind == k] = U(_mark_hash(k))
         self.kind, self.second, self.text = kind, second, text[self.word]
+        self.code, self.table = code, vocab.hash
 
-    def windows(self, width: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each window within one text that has the literal words it needs. plain takes names and openers as the words they are, of windows that have any."""
+    def windows(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Form, starts, sizes and hashes of the windows within one text. PLAIN ones are those that have names or openers, EXACT ones those that lack literal words even so."""
         m = len(self.hash) - width + 1
         if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        x = self.plain if plain else self.hash
-        if width == WINDOW == 8:  # pairs, fours, eights
-            for k in (1, 2, 4):
-                x = x[:-k] + x[k:] * POWERS[k]
-            h = x
-        else:
-            h = np.zeros(m, np.uint64)
-            for k in range(width):
-                h += x[k : k + m] * POWERS[k]
-        h ^= h >> U(29)
-        h *= U(0xBF58476D1CE4E5B9)
-        h ^= h >> U(32)
+            return
+        least = LITERAL if width == WINDOW else max(3, width - 3)
+        whole = self.text[width - 1 :] == self.text[:m]
         cap = self.kind >= NAME
-        sums = np.concatenate(([0], np.cumsum((self.kind == 0) | cap if plain else self.kind == 0, dtype=np.int32)))
-        ok = (self.text[width - 1 :] == self.text[:m]) & (sums[width:] - sums[:m] >= (LITERAL if width == WINDOW else max(3, width - 3)))
-        if plain:
-            caps = np.concatenate(([0], np.cumsum(cap, dtype=np.int32)))
-            ok &= caps[width:] > caps[:m]
-        at = np.flatnonzero(ok)
-        return at, h[at]
+        caps = np.concatenate(([0], np.cumsum(cap, dtype=np.int32)))
+        for form, x, word in ((TYPED, self.hash, self.kind == 0), (PLAIN, self.plain, (self.kind == 0) | cap)):
+            if width == WINDOW == 8:  # pairs, fours, eights
+                h = x
+                for k in (1, 2, 4):
+                    h = h[:-k] + h[k:] * POWERS[k]
+            else:
+                h = np.zeros(m, np.uint64)
+                for k in range(width):
+                    h += x[k : k + m] * POWERS[k]
+            sums = np.concatenate(([0], np.cumsum(word, dtype=np.int32)))
+            ok = whole & (sums[width:] - sums[:m] >= least)
+            few = np.flatnonzero(whole & ~ok)
+            if form == PLAIN:
+                ok &= caps[width:] > caps[:m]
+            at = np.flatnonzero(ok)
+            yield form, at, np.full(len(at), width), _stirred(h[at])
+            if width == WINDOW and len(few):
+                last = np.append(np.flatnonzero(word), np.full(LITERAL, len(word) + WIDEST))  # the LITERALth word ends the window
+                size = last[sums[few] + LITERAL - 1] + 1 - few
+                fits = size <= WIDEST
+                wide, size = few[fits], size[fits]
+                fits = self.text[wide + size - 1] == self.text[wide]
+                if form == PLAIN:
+                    fits &= caps[wide + size] > caps[wide]
+                wide, size = wide[fits], size[fits]
+                if len(wide):
+                    v, open_ = h[wide], np.arange(len(wide))
+                    for k in range(WINDOW, int(size.max())):
+                        open_ = open_[size[open_] > k]
+                        v[open_] += x[wide[open_] + k] * POWERS[k]
+                    yield form, wide, size, _stirred(v)
+            if form == PLAIN and len(few):
+                v = np.zeros(len(few), np.uint64)
+                for k in range(width):
+                    t = few + k
+                    c = self.code[self.word[t]]
+                    v += np.where(self.second[t], self.table[c, 1], self.table[c, 2]) * POWERS[k]
+                yield EXACT, few, np.full(len(few), width), _stirred(v ^ U(_mark_hash(UNIT)))
 
     def value(self, k: int) -> str:
         """What stands in a slot."""
-        word = self.words[self.word[k]].decode("utf-8", "replace")
-        core = word.strip("".join({c for c in word if not c.isalnum()})).lower()
-        fused = FUSED.fullmatch(core)
-        if fused and fused[2] in UNITS:
-            return fused[2] if self.second[k] else fused[1]
-        return core
+        return values(self.words[self.word[k]].decode("utf-8", "replace"))[int(self.second[k])]
 
-    def template(self, at: int, width: int, plain: bool) -> tuple[str, list[str]]:
+    def template(self, at: int, width: int, form: int) -> tuple[str, list[str]]:
         """The template, and the slots' values with their types."""
         out, slots = [], []
+        if form == EXACT:
+            each = ((k, self.kind[k] in (NUM, UNIT) or self.second[k]) for k in range(at, at + width))
+            return "= " + " ".join(self.value(k) if slot else literal(self.words[self.word[k]]) for k, slot in each), slots
         for k in range(at, at + width):
             kind = int(self.kind[k])
-            if kind and not (plain and kind >= NAME):
+            if kind and not (form == PLAIN and kind >= NAME):
                 mark = MARKS[kind]
                 out.append(mark)
                 slots.append(mark + self.value(k))
@@ -201,7 +241,7 @@ def slabs(texts: list[bytes]) -> Iterator[tuple[list[int], list[list[bytes]], li
         step = SLAB
         for at in range(0, max(len(words), 1), step):
             # overlap: enough words for every window that starts before the cut, and one for the sentence before it
-            piece = words[max(at - 1, 0) : at + step + 8 * WINDOW]
+            piece = words[max(at - 1, 0) : at + step + 8 * WIDEST]
             rows.append(k)
             held.append(piece)
             offs.append(max(at - 1, 0))
@@ -218,7 +258,7 @@ def _bits(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """(hash, item_id, pos, width, template, slots) of every window of every item; an item without words, or with too few literal ones, has none."""
+    """(hash, item_id, pos, width, template, slots) of every window of every item; an item of under three tokens has none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary()
@@ -227,8 +267,8 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
             for item, raw in zip(ids, utf8(batch.column("text"))):
                 t = Tokens([split(raw)], vocab)
                 width = min(WINDOW, len(t.hash))
-                for plain, at, h in ((p, a, v) for p in (False, True) for a, v in zip(*(x.tolist() for x in t.windows(width, p)))) if width >= 3 else ():
-                    template, slots = t.template(at, width, plain)
+                for form, at, n, h in ((f, *x) for f, *some in t.windows(width) for x in zip(*(y.tolist() for y in some))) if width >= 3 else ():
+                    template, slots = t.template(at, n, form)
                     rows.append((np.uint64(h).astype(np.int64).item(), item, at, width, template, slots))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(KINDS)], names=["hash", "item_id", "pos", "width", "template", "slots"])
 
@@ -267,12 +307,11 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
             ids, keys, rows = batch.column("d"), batch.column("x"), []
             for which, words, offs in slabs(utf8(batch.column("text"))):
                 t = Tokens(words, vocab)
-                for width, plain in product(widths, (False, True)):
-                    at, h = t.windows(width, plain)
+                for form, at, n, h in (x for width in widths for x in t.windows(width)):
                     p, q = _bits(h, k)
                     hit = np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & (held[q >> 3] >> (q & 7).astype(np.uint8)) & 1)
-                    for a, v in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
-                        template, slots = t.template(a, width, plain)
+                    for a, width, v in zip(at[hit].tolist(), n[hit].tolist(), h[hit].view(np.int64).tolist()):
+                        template, slots = t.template(a, width, form)
                         piece = int(t.text[a])
                         # tokens count from the piece's first word, so an alignment is one within a piece
                         first = int(np.searchsorted(t.text, piece))

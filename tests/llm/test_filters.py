@@ -52,6 +52,23 @@ def test_conflict_costs_only_its_own_windows(table, spark):
     assert got[2]["reparameterised"]
 
 
+def test_items_of_few_words_and_many_values(table, spark):
+    rng = random.Random(5)
+    items = [
+        (1, "Mix 5 kg flour, 3 kg sugar and 2 kg butter"),
+        (2, "12 + 30 = 42, 17 + 25 = 42, 9 + 8 = 17"),
+        (3, "Tom has 5 apples, Mary has 7 pears, Ann has 9 plums, Bob has 4 figs and Joe has none at all"),
+        (4, "7 x 8 = 56"),
+    ]
+    around = lambda t: prose(rng, 30) + " " + t + " " + prose(rng, 30)
+    docs = [(k, around(t)) for k, t in items]
+    docs += [(11, around("Mix 6 kg flour, 3 kg sugar and 4 kg butter")), (12, around("12 + 31 = 43, 17 + 26 = 43, 9 + 9 = 18")), (14, around("7 x 9 = 63"))]
+    docs += [(13, around("Jim has 6 apples, Eve has 8 pears, Kay has 2 plums, Max has 3 figs and Lee has none at all")), (15, around("MIX 5kg FLOUR, 3kg SUGAR and 2kg BUTTER"))]
+    got = {r["doc_id"]: r["leak"] for r in decontaminate.decontaminate(table(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: v["items"] for k, v in got.items() if v["contaminated"]} == {1: [1], 2: [2], 3: [3], 4: [4], 11: [1], 13: [3], 15: [1]}
+    assert got[11]["reparameterised"] and got[13]["reparameterised"] and not got[1]["reparameterised"]
+
+
 def brute_url(url):
     _, mark, rest = (url or "").partition("://")
     host = re.match(r"[^/?#]*", rest)[0] if mark else ""
