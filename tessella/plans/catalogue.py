@@ -326,7 +326,7 @@ c AS (SELECT *, {_cnd("d1")} AS a, {_cnd("d2")} AS b FROM f)
 SELECT i0, round(s * a - x * disc * b, 6) AS v_1, round(x * disc * (1.0 - b) - s * (1.0 - a), 6) AS v_2 FROM c"""
 
 query("blackscholes", _BS)(lambda t: e.amap(lambda v: (F.round(v[0], 6), F.round(v[1], 6)), programs.black_scholes(e.imap(lambda ix, v: (5 + v % 26, 1 + ix[0] % 100, (1 + v % 40) / 4), t.orders))))
-query("radixsort", f"SELECT row_number() OVER (ORDER BY c.v, i0) - 1 AS i0, c.v AS v_1, i0 AS v_2 FROM {CUST} c")(lambda t: programs.radix_sort_by(lambda v: v[0], e.imap(lambda ix, v: (v, ix[0]), t.customers), bits=16))
+query("radixsort", f"SELECT row_number() OVER (ORDER BY c.v, i0) - 1 AS i0, c.v AS v_1, i0 AS v_2 FROM {CUST} c")(lambda t: programs.radix_sort_by(lambda v: v[0], e.imap(lambda ix, v: (v, ix[0]), t.customers)))
 query("sort_by", f"SELECT row_number() OVER (ORDER BY v, i0) - 1 AS i0, v FROM {ORD}")(lambda t: programs.sort_by(t.orders, F.col("v")))
 
 # ---------------------------------------------------------------- scalar functions

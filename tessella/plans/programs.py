@@ -61,11 +61,26 @@ def black_scholes(options: Arr, riskfree: float = 0.02, volatility: float = 0.30
     return e.amap(price, options)
 
 
-def radix_sort_by(key: Callable[[Any], Column], a: Arr, bits: int = 16, digit: int = 8) -> Arr:
-    """Stable ascending sort of a vector by a key of ``bits`` bits, least significant digit first: every pass ranks elements by (digit, position) and scatters them."""
+def radix_sort_by(key: Callable[[Any], Column], a: Arr, bits: int | None = None, digit: int = 8) -> Arr:
+    """Stable ascending sort of a vector by a whole-number key, least significant digit first: every pass ranks elements by (digit, position) and scatters them.
+
+    ``bits`` is how many low bits of the key are sorted by; keys that don't fit are an error. Without it, one aggregate
+    finds how many the keys need; negative keys need all 64, the sign inverted. A null key is an error.
+    """
     n = a.extent[0]
+    keys = a.with_values(key(a.value).cast("long")).df
+    least, most, nulls = keys.agg(F.min("v"), F.max("v"), F.count_if(F.col("v").isNull())).first()
+    if nulls:
+        raise ValueError(f"{nulls} null keys")
+    least, most = least or 0, most or 0
+    signed = bits is None and least < 0
+    if bits is None:
+        bits = 64 if signed else most.bit_length()
+    elif bits < 64 and (least < 0 or most >> bits):
+        raise ValueError(f"keys from {least} to {most} do not fit into {bits} bits")
     for low in range(0, bits, digit):
-        d = F.shiftrightunsigned(key(a.value).cast("long"), low).bitwiseAND(F.lit((1 << digit) - 1).cast("long"))
+        k = key(a.value).cast("long")
+        d = F.shiftrightunsigned(k.bitwiseXOR(F.lit(-(1 << 63))) if signed else k, low).bitwiseAND(F.lit((1 << digit) - 1).cast("long"))
         df = a.with_values((*a.values, d * F.lit(n).cast("long") + a.dims[0].column)).df
         cols = names(len(a.values) + 1)
         src = df.select(*[F.col(c).alias(v) for c, v in zip(cols, a.names)], F.col(cols[-1]).alias("pos_"))

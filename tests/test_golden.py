@@ -211,3 +211,12 @@ def test_sorts(spark):
     want = sorted((x, k) for k, x in enumerate(xs))
     assert L(programs.radix_sort_by(lambda v: v[0], arr, bits=16)) == want
     assert L(programs.sort_by(arr, F.col("v_1"))) == want
+
+
+def test_radix_sort_of_any_key(spark):
+    for xs in ([65536 + 3, 5, 65536, 3, 1 << 40, 5], [-1, 7, -(1 << 63), (1 << 63) - 1, 0, -1], [0, 0]):
+        arr = e.imap(lambda ix, v: (v, ix[0]), a.from_list(spark, (len(xs),), xs, "long"))
+        assert L(programs.radix_sort_by(lambda v: v[0], arr)) == sorted((x, k) for k, x in enumerate(xs))
+    for xs in ([65536, 1], [-1, 1]):
+        with pytest.raises(ValueError, match="fit"):
+            programs.radix_sort_by(lambda v: v, a.from_list(spark, (2,), xs, "long"), bits=16)
