@@ -2,8 +2,8 @@
 
 Every window of ``LENGTH`` bytes has an anchor: the position in it whose 20 bytes have the least hash. Equal windows
 have equal anchors, so only segments (runs of windows with one anchor) whose anchor occurs in two documents can
-repeat. Those meet in shards by anchor hash, where the suffixes at their windows are sorted deep-shallow: multikey
-quicksort on 8-byte characters to a shallow depth, then blind tries (only branching positions and bytes) for
+repeat. Those meet in shards by anchor hash, where the suffixes at their windows are sorted deep-shallow: by
+8-byte characters (np.lexsort, in place of multikey quicksort) to a shallow depth, then blind tries (only branching positions and bytes) for
 the groups that still agree. Windows that are equal over the whole length form a group, which keeps its smallest doc_id.
 
 Chunks pre-aggregate what they send, so a passage that a third of all documents hold reaches its shard once per chunk.
