@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import LOWER, discard, documents, fresh, materialise, parts, utf8
+from .common import LOWER, NO_ID, discard, documents, fresh, materialise, parts, utf8
 from .components import components
 
 STEP = 1 << 16
@@ -276,19 +276,10 @@ def _bit_error(similarity: float) -> float:
     return worst
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 1 << 14) -> DataFrame:
-    """(doc_id, class_id) for each row: links are pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; the class is the smallest doc_id reachable.
-
-    Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
-    meets in some band with probability 1 - MISS, bit-sliced comparison on 256 of the bits keeps the pairs within the
-    radius of the threshold and three deviations. An exact check on the texts decides in two rounds: first over the
-    edges of FORESTS edge-disjoint spanning forests of each bucket, then over every pair that the links found so far
-    don't connect, so a rejected edge costs no link. Texts with equal shingle sets are collapsed first, so groups
-    of copies cost one row. Texts without words are linked to each other. Needs doc_id: rows where it is null are
-    each their own class (class_id null).
-    """
+def _classes(docs: DataFrame, words: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, x, digest) for each row, x a hash of its text; and (digest, x, least, component) for each distinct shingle set, of which some row (least, x) is the representative."""
     spark = docs.sparkSession
-    d = documents(docs).where("doc_id is not null")
+    d = documents(docs).withColumn("x", F.xxhash64("text"))
     p = _bit_error(similarity)
     n_docs = d.count()
     r = min(24, max(10, math.ceil(math.log2(max(n_docs, 1) / 256 + 1))))
@@ -301,8 +292,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
         rows = [wide_fingerprint(x, words, n_words) for x in utf8(text)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int32())], ["digest", "wide", "n"])
 
-    sig = materialise(d.select("doc_id", wide("text").alias("w")).select("doc_id", "w.digest", "w.wide", "w.n"))
-    reps = sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("wide").alias("wide"), F.first("n").alias("n"))
+    sig = materialise(d.select("doc_id", "x", wide("text").alias("w")).select("doc_id", "x", "w.digest", "w.wide", "w.n"))
+    # a shingle set is a node; its number tells sets apart that share a doc_id
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "x", "doc_id")).alias("least")
+    reps = sig.groupBy("digest").agg(least, F.first("wide").alias("wide"), F.first("n").alias("n"))
+    reps = materialise(reps.select("digest", F.monotonically_increasing_id().alias("rep"), "least.key", "least.x", F.col("least.doc_id").alias("least"), "wide", "n"))
 
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """The fingerprints' bytes, and a key for each band."""
@@ -393,8 +387,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
         return pa.array(out, pa.bool_())
 
     def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = materialise(d.join(ends.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))  # one plan at every size: both sides go by doc_id
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        asked = reps.join(ends, "rep").select("rep", "key", "x")
+        texts = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "x", "text")
+        texts = materialise(texts.join(asked.hint("merge"), ["key", "x"]).select("rep", "text").dropDuplicates(["rep"]))  # one plan at every size: both sides go by key and x
         held = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").where(similar("x", "y")).select("a", "b")
         held = materialise(held)
         discard(texts)
@@ -408,23 +404,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     second = materialise(buckets(classed).mapInArrow(remaining, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         comp = components(held.unionAll(checked(second)))
-    label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("g"), F.coalesce("component", "rep").alias("class_id"))
-    done = sig.join(label, F.col("digest") == F.col("g")).select("doc_id", "class_id")
-    return done.unionAll(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))
+    label = reps.join(comp, F.col("rep") == F.col("node"), "left").select("digest", "x", "least", F.coalesce("component", "rep").alias("component"))
+    return sig.select("doc_id", "x", "digest"), materialise(label)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 1 << 14) -> DataFrame:
+    """(doc_id, class_id) for each row: links are pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; the class is the smallest doc_id reachable.
+
+    Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
+    meets in some band with probability 1 - MISS, bit-sliced comparison on 256 of the bits keeps the pairs within the
+    radius of the threshold and three deviations. An exact check on the texts decides in two rounds: first over the
+    edges of FORESTS edge-disjoint spanning forests of each bucket, then over every pair that the links found so far
+    don't connect, so a rejected edge costs no link. Texts with equal shingle sets are collapsed first, so groups
+    of copies cost one row. Null and empty texts and those without words have the empty set and are linked to each
+    other. Rows are linked by their texts alone: rows that share a doc_id may be of several classes, and a row without
+    a doc_id is of the class of its text (null if no row of the class has a doc_id). An empty table gives no rows.
+    """
+    rows, label = _classes(docs, words, similarity, tile)
+    named = label.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = label.join(named, "component").select(F.col("digest").alias("g"), "class_id")
+    return rows.join(named, F.col("digest") == F.col("g")).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates: of each class of ``near_duplicates`` the row with the smallest doc_id stays.
+    """``docs`` without near-duplicates: of each class of ``near_duplicates`` one row stays, that with the smallest doc_id (null comes last).
 
-    Of rows that share a doc_id the one with the least text stays. Rows without a doc_id all stay, as nothing tells them apart.
+    Of rows that share this doc_id the one with the smallest hash of its text stays, and of equal texts the row that sorts first by all columns.
     """
-    classes = materialise(near_duplicates(docs, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")))
-    key = fresh(docs, "near_id")
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(key))
-    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(key), "left_anti")
-    repeated = classes.where("class_id = doc_id and rows > 1").select(F.col("doc_id").alias(key))
+    rows, label = _classes(docs, words, similarity, 1 << 14)
+    last = F.struct(F.coalesce("least", F.lit(NO_ID)), "x")
+    kept = label.groupBy("component").agg(F.min_by(F.struct("least", "x"), last).alias("row"))
+    key, x, row = (fresh(docs, c) for c in ("near_id", "near_text", "near_row"))
+    kept = materialise(kept.select(F.col("row.least").alias(key), F.col("row.x").alias(x)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(x))
+    left = docs.join(kept.hint("merge"), same, "left_semi")
+    repeated = materialise(rows.groupBy("doc_id", "x").count().where("count > 1").select(F.col("doc_id").alias(key), F.col("x").alias(x)))
     if repeated.isEmpty():
         return left
-    row = fresh(docs, "near_row")
-    once = left.join(repeated, F.col("doc_id") == F.col(key), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(row))
-    return left.join(repeated, F.col("doc_id") == F.col(key), "left_anti").unionAll(once.select(f"{row}.*"))
+    # rows may hold maps, which Spark can't sort, so JSON decides; wholly equal rows are interchangeable
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias(key), F.xxhash64(F.col("text").cast("string")).alias(x)).agg(F.min_by(every, F.to_json(every)).alias(row))
+    return left.join(repeated, same, "left_anti").unionAll(once.select(f"{row}.*"))

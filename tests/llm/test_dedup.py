@@ -106,7 +106,7 @@ def test_near_duplicates(table):
     kept = simhash.one_of_each(table(docs, extra=True))
     assert {r["doc_id"] for r in kept.collect()} == {k for k in comp if comp[k] == k} and "near_row" in kept.columns
     again = [(1, "b c d e f g"), (1, "b c d e f g"), (1, "other words are here now"), (None, None), (None, None)]
-    assert sorted(r["doc_id"] or 0 for r in simhash.one_of_each(table(again)).collect()) == [0, 0, 1]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(table(again)).collect()) == [(0, None), (1, "b c d e f g"), (1, "other words are here now")]
 
 
 def test_near_duplicates_among_many_poor_pairs(table):
