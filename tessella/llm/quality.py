@@ -1,20 +1,29 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source.
 
-Each text's statistics become a vector (mean word length, symbols, duplicate lines, repeated words, each as a share and
-transformed so that short texts don't vary more than long ones). For every (language, source) a minimum-covariance-
-determinant estimate is found over all rows that pass the base rules: concentration steps, each a distributed aggregate,
-refit mean and covariance to the share of rows with the smallest Mahalanobis distances. Rows far from the final estimate
-are rejected. No group is ever gathered: rows meet only their group's 14 parameters.
+Each text's statistics become a vector: the logarithm of the mean word length, and square roots of the shares of
+symbols, duplicate lines and repeated words (square roots make the noise of a count the same at every rate). For all rows, every
+language and every (language, source) a minimum-covariance-determinant estimate is found among the rows that pass the
+base rules: of all subsets of three quarters of the rows that whose covariance has the least determinant. Concentration
+steps go on from several starts until nothing changes, and the least determinant of all wins. Rows far from the
+estimate, by Mahalanobis distance, are rejected.
+
+An estimate rests on its rows and on ``PRIOR`` rows' weight of its parent's estimate (a source's is its language's, a language's
+is that of all rows), so small groups lean on their language by degrees, without a size at which the model changes. What one
+event more in a text (a symbol, a duplicate line, a repeated window, a letter) does to the statistics, on average over
+the group, is added to the covariance as the noise of measurement; it is no other floor.
+
+No group of rows is ever gathered: rows are pre-aggregated to the cells of a fixed grid (counts, sums and products),
+``LEVELS`` cells at most for a group of any size, and the estimate is found over whole cells in one task a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -25,13 +34,16 @@ SPACES = b" \t\n\r\x0b\x0c"
 NOT_IN_WORDS = bytes(range(0x80, 0xC0)) + SPACES
 SYMBOLS = b"#*$%&|<>"
 DIMS = 4
-#: Least standard deviations: a group whose rows all agree in a statistic must not reject the first that differs a little.
-FLOOR = (0.15, 0.1, 0.12, 0.12)
-#: 1 - 1e-6 quantile and median of chi-square with 4 degrees of freedom.
-CUT, MEDIAN = 33.377, 3.357
-#: Groups with fewer rows take the estimate of their language, or of all rows.
-LEAST = 60
-BINS = 64
+#: 1 - 1e-6 quantile of chi-square with 4 degrees of freedom.
+CUT = 33.377
+#: Share of the rows that the estimate rests on, and what makes the covariance of that share consistent for normal rows.
+SHARE, CONSISTENT = 0.75, 1.4869
+#: Rows' weight of the parent's estimate.
+PRIOR = 40.0
+#: The grid: width of a cell and number of cells in each dimension. Values beyond it are in its last cells; sums are exact everywhere.
+GRID = ((1 / 128, 1024), (1 / 16, 16), (1 / 8, 8), (1 / 8, 8))
+LEVELS = math.prod(n for _, n in GRID)
+RANDOM_STARTS, BEST = 24, 6
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 STATS = "struct<" + ", ".join(f"{c}: long" for c in FIELDS) + ">"
@@ -63,110 +75,198 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics x0 to x3. The mean word length is drawn to 5 by 100 words' weight."""
+    """The transformed statistics x0 to x3. The mean word length is drawn to 5 by 100 words' weight, so that short texts don't vary more than long ones."""
     n = F.col("n_words")
     return [
-        ((F.col("word_chars") + 500) / (n + 100)).alias("x0"),
+        F.log2((F.col("word_chars") + 500) / (n + 100)).alias("x0"),
         F.sqrt(F.col("n_symbols") / (n + 20)).alias("x1"),
-        (F.col("n_dup_lines") / (F.col("n_lines") + 3)).alias("x2"),
-        (F.col("n_repeat_words") / (n + 50)).alias("x3"),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 3)).alias("x2"),
+        F.sqrt(F.col("n_repeat_words") / (n + 50)).alias("x3"),
     ]
 
 
-PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+def noise() -> list[Column]:
+    """The squares of what one event more does to x0 to x3: a letter, a symbol, a duplicate line, a window of three words that is there twice."""
+    n = F.col("n_words")
+    return [
+        F.pow(1 / (math.log(2) * (F.col("word_chars") + 500)), F.lit(2.0)).alias("v0"),
+        (1 / (n + 20)).alias("v1"),
+        (1 / (F.col("n_lines") + 3)).alias("v2"),
+        (6 / (n + 50)).alias("v3"),
+    ]
 
 
-def _estimate(sums: pa.Array) -> pa.Array:
-    """Mean and inverse covariance (upper triangle) of rows of (count, sums, sums of products)."""
-    s = np.array(sums.to_pylist(), float).reshape(-1, 1 + DIMS + len(PAIRS))
-    mean = s[:, 1 : 1 + DIMS] / s[:, :1]
-    cov = np.empty((len(s), DIMS, DIMS))
-    for k, (i, j) in enumerate(PAIRS):
-        cov[:, i, j] = cov[:, j, i] = s[:, 1 + DIMS + k] / s[:, 0] - mean[:, i] * mean[:, j]
-    for i in range(DIMS):
-        cov[:, i, i] = np.maximum(cov[:, i, i], 0) + FLOOR[i] ** 2
-    inv = np.linalg.inv(cov)
-    p = np.stack([inv[:, i, j] * (1 if i == j else 2) for i, j in PAIRS], axis=1)
-    return pa.StructArray.from_arrays([pa.array(mean.tolist(), pa.list_(pa.float64())), pa.array(p.tolist(), pa.list_(pa.float64()))], ["m", "p"])
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+X = [f"x{i}" for i in range(DIMS)]
+V = [f"v{i}" for i in range(DIMS)]
+SUMS = [*(f"s{i}" for i in range(DIMS)), *(f"s{i}{j}" for i, j in PAIRS), *(f"n{i}" for i in range(DIMS))]
 
 
-def _distance(m: str = "m", p: str = "p") -> Column:
-    y = [F.col(f"x{i}") - F.element_at(m, i + 1) for i in range(DIMS)]
-    out = F.lit(0.0)
-    for k, (i, j) in enumerate(PAIRS):
-        out = out + F.element_at(p, k + 1) * y[i] * y[j]
-    return F.greatest(out, F.lit(0.0))
+def cells(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, cell, w, sums) of ``rows`` (keys, x0 to x3, v0 to v3): counts and sums in each cell of the grid."""
+    place = F.lit(0)
+    for x, (width, count) in zip(X, GRID):
+        place = place * count + F.least(F.greatest(F.floor(F.col(x) / width), F.lit(0)), F.lit(count - 1))
+    sums = [*(F.sum(x) for x in X), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in PAIRS), *(F.sum(v) for v in V)]
+    return rows.groupBy(*keys, place.cast("long").alias("cell")).agg(F.count("*").cast("double").alias("w"), *[x.alias(c) for x, c in zip(sums, SUMS)])
+
 
+class Prior:
+    """``weight`` rows with this mean, covariance (of a subset, without noise) and noise."""
 
-def _fit(rows: DataFrame, weight: str = "w") -> DataFrame:
-    """Estimates per group; ``w`` says how often a row counts."""
-    w = F.col(weight)
-    parts = [F.sum(w), *(F.sum(w * F.col(f"x{i}")) for i in range(DIMS)), *(F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in PAIRS)]
-    sums = rows.groupBy("g").agg(F.array(*[x.cast("double") for x in parts]).alias("s"))
-    return sums.select("g", F.element_at("s", 1).alias("n"), arrow_udf(_estimate, "struct<m: array<double>, p: array<double>>")("s").alias("e")).select(F.col("g").alias("e_g"), "n", "e.m", "e.p")
+    def __init__(self, weight: float, mean: np.ndarray, cov: np.ndarray, noise: np.ndarray) -> None:
+        self.weight, self.mean, self.cov, self.noise = weight, mean, cov, noise
 
 
-def _quantiles(binned: DataFrame, bin_: str, share: float, name: str) -> DataFrame:
-    """Per group the lowest bin up to which ``share`` of the rows lie, from counts of bins."""
-    counts = binned.groupBy("g", F.col(bin_).alias("b")).agg(F.sum("w").alias("k"))
-    w = W.partitionBy("g")
-    run = counts.select("g", "b", F.sum("k").over(w.orderBy("b")).alias("upto"), F.sum("k").over(w).alias("all"))
-    return run.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(F.min("b").alias(name)).withColumnRenamed("g", "q_g")
+NONE = Prior(0.0, np.zeros(DIMS), np.zeros((DIMS, DIMS)), np.zeros(DIMS))
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 8) -> DataFrame:
-    """(g, n, m, p, scale) for each group of ``rows`` (g, x0 to x3, w).
+def mcd(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, noise: np.ndarray, prior: Prior = NONE, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, raw covariance and log-determinant of the subset of ``share`` of the rows that has the least determinant.
 
-    Starts from the rows near the coordinate-wise medians (on a grid of half the floors) and concentrates until the
-    subsets' sizes and sums no longer change, ``steps`` times at most. scale brings the median distance to that of chi-square.
-    Every step is deterministic up to rounding: quantiles come from exact counts of bins.
+    Rows come in cells: ``w`` rows with a mean and a covariance each (one row with covariance zero is a cell too). A subset takes
+    whole cells, nearest first, and of the last one a part. The determinant is that of the covariance of the subset
+    and the prior's rows, plus the noise. A concentration step never makes it larger, and each start goes on until it
+    stays the same.
     """
-    grid = [F.floor(F.col(f"x{i}") / (FLOOR[i] / 2)).alias("b") for i in range(DIMS)]
-    start = None
+    h = share * w.sum()
+    total = h + prior.weight
+    base = np.diag(noise)
+
+    def fit(take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = (take @ mean + prior.weight * prior.mean) / total
+        d = mean - m
+        s = np.einsum("k,kij->ij", take, cov) + (d * take[:, None]).T @ d
+        e = prior.mean - m
+        return m, (s + prior.weight * (prior.cov + np.outer(e, e))) / total
+
+    def nearest(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+        p = np.linalg.inv(c)
+        d = mean - m
+        far = np.einsum("ki,ij,kj->k", d, p, d) + np.einsum("ij,kij->k", p, cov)
+        order = np.argsort(far, kind="stable")
+        before = np.cumsum(w[order]) - w[order]
+        take = np.empty(len(w))
+        take[order] = np.clip(h - before, 0, w[order])
+        return take
+
+    def measure(c: np.ndarray) -> float:
+        return float(np.linalg.slogdet(c + base)[1])
+
+    def step(state: tuple) -> tuple:
+        m, c = fit(nearest(state[0], state[1] + base))
+        return m, c, measure(c)
+
+    every = w * share
+    whole = fit(every)
+    order = [np.argsort(mean[:, i], kind="stable") for i in range(DIMS)]
+    middle = np.array([mean[o, i][min(np.searchsorted(np.cumsum(w[o]), w.sum() / 2), len(w) - 1)] for i, o in enumerate(order)])
+    spread = np.diag((np.abs(mean - middle) * w[:, None]).sum(axis=0) / w.sum()) ** 2
+    starts = [whole, (middle, spread), (middle, np.zeros((DIMS, DIMS))), (mean[np.argmax(w)], np.zeros((DIMS, DIMS)))]
+    if prior.weight:
+        starts.append((prior.mean, prior.cov))
+    rng = np.random.default_rng(len(w))
+    chance = w / w.sum()
+    for _ in range(RANDOM_STARTS):
+        some = rng.choice(len(w), min(DIMS + 1, len(w)), replace=False, p=chance)
+        m = mean[some].mean(axis=0)
+        starts.append((m, (mean[some] - m).T @ (mean[some] - m) / len(some)))
+    states = sorted((step(step((*s, 0.0))) for s in starts), key=lambda s: s[2])[:BEST]
+    best = None
+    for s in states:
+        for _ in range(10000):
+            t = step(s)
+            if t[2] >= s[2] - 1e-12 * max(1.0, abs(s[2])):
+                break
+            s = t
+        else:
+            raise RuntimeError("concentration steps don't end")
+        if best is None or s[2] < best[2]:
+            best = s
+    return best
+
+
+ESTIMATE = "m array<double>, p array<double>, c array<double>, v array<double>, n double"
+_LIST = pa.list_(pa.float64())
+
+
+def estimate(table: pa.Table, prior: Prior) -> dict[str, list]:
+    """The estimate of one group's cells: mean, inverse covariance (upper triangle, off-diagonal ones twice), raw covariance, noise and rows."""
+    order = np.argsort(table.column("cell").to_numpy())  # the result doesn't depend on how the cells arrived
+    get = lambda c: table.column(c).to_numpy()[order]
+    w = get("w")
+    mean = np.stack([get(f"s{i}") for i in range(DIMS)], axis=1) / w[:, None]
+    cov = np.empty((len(w), DIMS, DIMS))
+    for i, j in PAIRS:
+        cov[:, i, j] = cov[:, j, i] = get(f"s{i}{j}") / w - mean[:, i] * mean[:, j]
+    cov[w == 1] = 0  # but for rounding
     for i in range(DIMS):
-        q = _quantiles(rows.select("g", "w", grid[i]), "b", 0.5, "q").select(F.col("q_g").alias("e_g"), ((F.col("q") + 0.5) * (FLOOR[i] / 2)).alias(f"c{i}"))
-        start = q if start is None else start.join(q, "e_g")
-    inverse = [1 / FLOOR[i] ** 2 if i == j else 0.0 for i, j in PAIRS]
-    now = materialise(start.select("e_g", F.lit(0.0).alias("n"), F.array(*[F.col(f"c{i}") for i in range(DIMS)]).alias("m"), F.array(*[F.lit(x) for x in inverse]).alias("p")))
-    seen = None
-    for _ in range(steps):
-        far = rows.join(now, F.col("g") == F.col("e_g")).withColumn("b", F.floor(BINS * F.log2(1 + _distance()))).select("g", "w", "b", *[f"x{i}" for i in range(DIMS)])
-        near = far.join(_quantiles(far, "b", share, "q"), F.col("g") == F.col("q_g")).where(F.col("b") <= F.col("q"))
-        now = materialise(_fit(near))
-        sign = now.agg(F.sum("n"), F.round(F.sum(F.aggregate("m", F.lit(0.0), lambda a, x: a + x)), 6)).first()
-        if sign == seen:
-            break
-        seen = sign
-    far = rows.join(now, F.col("g") == F.col("e_g")).withColumn("b", F.floor(BINS * F.log2(1 + _distance()))).select("g", "w", "b")
-    size = rows.groupBy("g").agg(F.sum("w").alias("rows")).withColumnRenamed("g", "r_g")
-    mid = _quantiles(far, "b", 0.5, "q").join(size, F.col("q_g") == F.col("r_g"))
-    # a group with less spread than the floors is not scaled down
-    scale = F.greatest((F.pow(F.lit(2.0), (F.col("q") + 1) / BINS) - 1) / MEDIAN, F.lit(1.0))
-    return now.join(mid, F.col("e_g") == F.col("q_g")).select("e_g", F.col("rows").alias("n"), "m", "p", scale.alias("scale"))
-
-
-def _level(k: int) -> Column:
-    """Group names: of language and source, of the language, of all rows; nulls have a name of their own."""
-    part = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string")))
-    return [F.concat(F.lit("2:"), F.length(part("lang")).cast("string"), F.lit(":"), part("lang"), part("source")), F.concat(F.lit("1:"), part("lang")), F.lit("0")][k]
+        cov[:, i, i] = np.maximum(cov[:, i, i], 0)
+    v = (np.array([get(f"n{i}").sum() for i in range(DIMS)]) + prior.weight * prior.noise) / (w.sum() + prior.weight)
+    m, c, _ = mcd(w, mean, cov, v / CONSISTENT, prior)
+    inv = np.linalg.inv(CONSISTENT * c + np.diag(v))
+    return {"m": [m.tolist()], "p": [[float(inv[i, j] * (1 if i == j else 2)) for i, j in PAIRS]], "c": [[float(c[i, j]) for i, j in PAIRS]], "v": [v.tolist()], "n": [float(w.sum())]}
+
+
+def _prior(m: list[float], c: list[float], v: list[float]) -> Prior:
+    cov = np.zeros((DIMS, DIMS))
+    for x, (i, j) in zip(c, PAIRS):
+        cov[i, j] = cov[j, i] = x
+    return Prior(PRIOR, np.array(m), cov, np.array(v))
+
+
+def _fit(found: DataFrame, key: str) -> DataFrame:
+    """(key, estimate) of each group of cells; columns pm, pc and pv are the parent's estimate (null: none)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = [table.column(c)[0].as_py() for c in ("pm", "pc", "pv")]
+        out = estimate(table, _prior(*first) if first[0] else NONE)
+        return pa.table({"key": pa.array([table.column(key)[0].as_py()], pa.string()), **{c: pa.array(x, pa.float64() if c == "n" else _LIST) for c, x in out.items()}})
+
+    return materialise(found.groupBy(key).applyInArrow(run, f"key string, {ESTIMATE}"))
+
+
+def _under(found: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Cells with the estimate of their parent ``key``."""
+    return found.join(parents.select(F.col("key").alias(key), F.col("m").alias("pm"), F.col("c").alias("pc"), F.col("v").alias("pv")), key)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(key, m, p, c, v, n) of each value of ``rows.g1`` (a source within a language), under its ``g0`` (a language), under all rows. ``rows``: g0, g1, x0 to x3, v0 to v3."""
+    fine = materialise(cells(rows, "g0", "g1"))
+    again = lambda *keys: fine.groupBy(*keys, "cell").agg(*[F.sum(c).alias(c) for c in ("w", *SUMS)])
+    none = [F.lit(None).cast("array<double>").alias(c) for c in ("pm", "pc", "pv")]
+    root = _fit(again().select(F.lit("all").alias("top"), "*", *none), "top")
+    mid = _fit(_under(again("g0").withColumn("top", F.lit("all")), root, "top"), "g0")
+    return _fit(_under(fine, mid, "g0"), "g1")
+
+
+def _distance() -> Column:
+    y = [F.col(f"x{i}") - F.element_at("m", i + 1) for i in range(DIMS)]
+    out = F.lit(0.0)
+    for k, (i, j) in enumerate(PAIRS):
+        out = out + F.element_at("p", k + 1) * y[i] * y[j]
+    return F.greatest(out, F.lit(0.0))
+
+
+def _group(*columns: str) -> Column:
+    """A name for the values of ``columns``, nulls among them, that no other values have."""
+    part = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(c).cast("string"), F.lit(":"), F.col(c)))
+    return F.concat(*[part(c) for c in columns])
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, distance, kept) for each row of ``docs``.
 
-    Null texts have no words, so they fail the base rules. Null languages and sources form groups like any other;
-    groups of under LEAST rows are judged by their language's estimate, and those by that of all rows.
+    Null and empty texts have no words, so they fail the base rules; those rows have no distance and no part in any
+    estimate. Null languages and sources form groups like any other. Repeated rows count as often as they are there. An empty
+    table gives no rows, and a row that alone passes the base rules is kept.
     """
-    stats = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), arrow_udf(_stats, STATS)(F.col("text").cast("string")).alias("s")).select("doc_id", "lang", "source", "s.*"))
-    x = stats.withColumn("base_failed", base_failed()).select("*", *vector())
-    levels = F.explode(F.array(*[_level(k) for k in range(3)])).alias("g")
-    rows = x.where(~F.col("base_failed")).select(levels, *[f"x{i}" for i in range(DIMS)]).groupBy("g", *[f"x{i}" for i in range(DIMS)]).agg(F.count("*").alias("w"))
-    est = materialise(mcd(materialise(rows)))
-    x = x.withColumns({f"g{k}": _level(k) for k in range(3)})
-    for k in range(3):
-        e = est.where((F.col("n") >= LEAST) | F.lit(k == 2)).select(F.col("e_g").alias(f"e{k}"), F.struct("m", "p", "scale").alias(f"est{k}"))
-        x = x.join(e, F.col(f"g{k}") == F.col(f"e{k}"), "left")
-    x = x.withColumn("est", F.coalesce("est0", "est1", "est2"))
-    x = x.withColumns({"m": F.col("est.m"), "p": F.col("est.p")})
-    x = x.withColumn("distance", _distance() / F.col("est.scale"))
-    return x.select("doc_id", *FIELDS, "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
+    text = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
+    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text, arrow_udf(_stats, STATS)(F.col("text").cast("string")).alias("s"))
+    stats = materialise(stats.select("doc_id", "lang", "source", "s.*"))
+    x = stats.select("doc_id", *FIELDS, base_failed().alias("base_failed"), _group("lang").alias("g0"), _group("lang", "source").alias("g1"), *vector(), *noise())
+    est = estimates(x.where(~F.col("base_failed")).select("g0", "g1", *X, *V)).select(F.col("key").alias("g1"), "m", "p")
+    far = F.when(~F.col("base_failed"), _distance()).alias("distance")
+    met = x.join(est, "g1", "left").select("doc_id", *FIELDS, "base_failed", far)
+    return met.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))

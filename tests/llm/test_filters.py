@@ -1,6 +1,7 @@
 """Decontamination, URL filters, toxicity, quality rules and licence scans."""
 
 import fnmatch
+import itertools
 import random
 import re
 import zlib
@@ -144,13 +145,67 @@ def test_quality(table):
     assert all(got[k]["kept"] for k in good) and not any(got[k]["kept"] for k in junk)
 
 
-def test_mcd_finds_the_bulk(spark):
+def det(x, noise, prior):
+    """Log-determinant for a subset of rows, by its definition."""
+    total = len(x) + prior.weight
+    m = (x.sum(axis=0) + prior.weight * prior.mean) / total
+    c = sum((np.outer(r - m, r - m) for r in x), prior.weight * (prior.cov + np.outer(prior.mean - m, prior.mean - m))) / total
+    return np.linalg.slogdet(c + np.diag(noise))[1]
+
+
+def test_mcd_is_the_least_of_all_subsets():
     rng = np.random.default_rng(0)
-    clean = rng.normal(size=(800, 4)) * [0.3, 0.2, 0.2, 0.2] + [5, 1, 0, 0]
-    rows = np.vstack((clean, rng.normal(size=(180, 4)) * 0.05 + [12, 6, 4, 4]))
-    df = spark.createDataFrame([("g", *map(float, r), 1) for r in rows], "g string, x0 double, x1 double, x2 double, x3 double, w long")
-    (r,) = quality.mcd(df).collect()
-    assert np.allclose(r["m"], [5, 1, 0, 0], atol=0.1) and r["n"] == 980
+    priors = [quality.NONE, quality.Prior(5.0, np.array([1.0, 0, 0, 0]), np.diag([1.0, 2.0, 1.0, 1.0]), np.full(4, 0.01))]
+    for k in range(12):
+        x = rng.normal(size=(12, 4)) @ rng.normal(size=(4, 4))
+        x[:3] += rng.normal(size=4) * 8
+        noise, prior = np.full(4, 0.01), priors[k % 2]
+        want = min(det(x[list(s)], noise, prior) for s in itertools.combinations(range(12), 9))
+        got = quality.mcd(np.ones(12), x, np.zeros((12, 4, 4)), noise, prior, share=0.75)[2]
+        assert np.isclose(got, want)
+        # rows of one cell count like the rows themselves
+        pairs = np.repeat(x, 2, axis=0) + rng.normal(size=(24, 4)) * 1e-9
+        cells = quality.mcd(np.full(12, 2.0), x, np.zeros((12, 4, 4)), noise, prior)[2]
+        assert np.isclose(cells, quality.mcd(np.ones(24), pairs, np.zeros((24, 4, 4)), noise, prior)[2])
+
+
+def rows_of(spark, groups):
+    data = [(f"v2:{g[0]}", g, *map(float, r), *[1e-4] * 4) for g, x in groups.items() for r in x]
+    return spark.createDataFrame(data, ", ".join(["g0 string", "g1 string", *(f"{c}{i} double" for c in "xv" for i in range(4))]))
+
+
+def test_estimates_find_the_bulk_and_lean_on_the_language(spark):
+    rng = np.random.default_rng(0)
+    clean = np.abs(rng.normal(size=(900, 4))) * [0.03, 0.1, 0.1, 0.1] + [2.3, 0.2, 0.1, 0.1]
+    junk = rng.normal(size=(180, 4)) * 0.02 + [4.5, 0.9, 0.8, 0.7]
+    got = {r["key"]: r for r in quality.estimates(rows_of(spark, {"a1": np.vstack((clean, junk)), "a2": clean[:2] + 0.3, "a3": clean[:1]})).collect()}
+    assert got["a1"]["n"] == 1080 and np.allclose(got["a1"]["m"], clean.mean(axis=0), atol=0.05)
+    assert np.allclose(got["a2"]["m"], got["a1"]["m"], atol=0.05)
+    assert got["a3"]["n"] == 1
+
+
+def test_covariance_decides(spark):
+    """Two groups with the same means and variances: a row off the axis of one lies on that of the other."""
+    rng = np.random.default_rng(1)
+    t, e = rng.normal(size=(2, 1500)) * [[0.2], [0.01]]
+    up = np.stack([3 + t, 1 + t + e, rng.normal(size=1500) * 0.05 + 0.3, rng.normal(size=1500) * 0.05 + 0.3], axis=1)
+    down = up * [1, -1, 1, 1] + [0, 2, 0, 0]
+    est = quality.estimates(rows_of(spark, {"a": up, "b": down}))
+    probe = spark.createDataFrame([(3.4, 1.4, 0.3, 0.3), (3.4, 0.6, 0.3, 0.3)], "x0 double, x1 double, x2 double, x3 double")
+    far = {(r["key"], r["x1"]): r["d"] for r in est.crossJoin(probe).select("key", "x1", quality._distance().alias("d")).collect()}
+    assert max(far["a", 1.4], far["b", 0.6]) < quality.CUT / 2 and min(far["a", 0.6], far["b", 1.4]) > quality.CUT
+
+
+def test_same_text_judged_by_its_group(table):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    text = lambda mean: " ".join(word(max(1, round(rng.gauss(mean, 1)))) for _ in range(200))
+    docs = [(k, text(5), "aa", "s") for k in range(200)] + [(1000 + k, text(rng.uniform(4, 9)), "bb", "s") for k in range(200)]
+    long_ = text(7.5)
+    docs += [(2000, long_, "aa", "s"), (2001, long_, "bb", "s"), (2002, long_, None, "s"), (2003, long_, "cc", None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(table(docs, extra=True)).collect()}
+    assert not got[2000] and got[2001]
+    assert sum(got[k] for k in range(200)) >= 199 and sum(got[1000 + k] for k in range(200)) >= 199
 
 
 def test_licenses(table):
