@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import permute
 from ..plans.arr import Arr
-from .scalar import _c, fdiv, gcd, quot
+from .scalar import _c, fdiv, gcd, let, quot
 
 # ---------------------------------------------------------------- Maybe: a nullable column
 
@@ -36,7 +36,18 @@ def from_maybe(d: Any, m: Column) -> Column:
 
 
 def from_just(m: Column) -> Column:
-    return m
+    """The present value; nothing is an error."""
+    return F.when(m.isNull(), F.raise_error(F.lit("nothing where a value was needed"))).otherwise(m)
+
+
+def nest(m: Column) -> Column:
+    """A present value that is itself optional, so that nothing and just nothing differ: a struct, null for nothing."""
+    return F.struct(m.alias("e"))
+
+
+def join_maybe(m: Column) -> Column:
+    """The inner optional value of a nested one."""
+    return F.when(m.isNotNull(), m["e"])
 
 
 def maybe(d: Any, f: Callable[[Column], Any], m: Column) -> Column:
@@ -209,10 +220,14 @@ def csqrt(z: Column) -> Column:
 
 def reduce(x: Any, y: Any) -> Column:
     x, y = _c(x).cast("long"), _c(y).cast("long")
-    g = gcd(x, y)
-    safe = F.when(g == 0, F.lit(1).cast("long")).otherwise(g)
-    zero = y == 0
-    return F.struct(F.when(zero, F.lit(1).cast("long")).otherwise(quot(x, safe)).alias("num"), F.when(zero, F.lit(0).cast("long")).otherwise(quot(y, safe)).alias("den"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def made(s: Column) -> Column:
+        x, y, g = s["x"], s["y"], s["g"]
+        safe = F.when(g == 0, one).otherwise(g)
+        return F.struct(F.when(y == 0, one).otherwise(quot(x, safe)).alias("num"), F.when(y == 0, none).otherwise(quot(y, safe)).alias("den"))
+
+    return let(let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.struct(s["x"], s["y"], gcd(s["x"], s["y"]).alias("g"))), made)
 
 
 def ratio(x: Any, y: Any) -> Column:
@@ -253,8 +268,13 @@ def to_rational(x: Column) -> Column:
     """The exact ratio of a double, where it fits 64 bits: mantissa times a power of two."""
     from .scalar import decode_float, shift_l
 
+    def made(s: Column) -> Column:
+        m, e = s["m"], s["e"]
+        one = F.lit(1).cast("long")
+        return reduce(F.when(e >= 0, shift_l(m, e)).otherwise(m), F.when(e >= 0, one).otherwise(shift_l(one, -e)))
+
     m, e = decode_float(x)
-    return F.when(e >= 0, reduce(shift_l(m, e), F.lit(1))).otherwise(reduce(m, shift_l(F.lit(1).cast("long"), -e)))
+    return let(F.struct(m.alias("m"), e.alias("e")), made)
 
 
 # ---------------------------------------------------------------- Vec: fixed-length arrays

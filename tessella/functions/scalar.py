@@ -19,6 +19,11 @@ def _c(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(x: Column, f: Any) -> Column:
+    """``f(x)`` where x is evaluated once, however often ``f`` names it: without this nested definitions grow exponentially."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def constant(x: Any) -> Column:
     return F.lit(x)
 
@@ -163,7 +168,8 @@ def lcm(a: Any, b: Any) -> Column:
 
 
 def power(a: Any, n: Any) -> Column:
-    """a ** n for whole n of at least 0, by squaring, wrapping like the products it stands for."""
+    """a ** n for whole n, by squaring, wrapping like the products it stands for; a negative n is an error."""
+    n = F.when(_c(n) < 0, F.raise_error(F.lit("negative exponent")).cast("long")).otherwise(_c(n))
     start = F.struct(F.lit(1).cast("long").alias("r"), _c(a).cast("long").alias("b"), _c(n).cast("long").alias("n"))
     step = lambda s, _: F.struct(F.when(s["n"] % 2 == 1, s["r"] * s["b"]).otherwise(s["r"]).alias("r"), (s["b"] * s["b"]).alias("b"), F.shiftright(s["n"], 1).alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step)["r"]
@@ -179,9 +185,9 @@ def power_signed(a: Any, n: Any) -> Column:
 
 
 def fdiv(a: Any, b: Any) -> Column:
-    """IEEE division: x/0 is an infinity of x's sign, 0/0 is NaN. The sign of a zero divisor doesn't count."""
+    """IEEE division: x/0 is an infinity, with the signs of x and of the zero; 0/0 is NaN."""
     a, b = _c(a).cast("double"), _c(b).cast("double")
-    zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when((a > 0) != is_negative_zero(b), F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(b == 0, zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
@@ -297,8 +303,8 @@ def significand(a: Column) -> Column:
 
 def decode_float(a: Column) -> tuple[Column, Column]:
     """Mantissa of 53 bits and exponent."""
-    e = exponent(a)
-    return F.when(a == 0, F.lit(0).cast("long")).otherwise(scale_float(F.lit(53) - e, a).cast("long")), F.when(a == 0, F.lit(0)).otherwise(e - 53)
+    mantissa = let(exponent(a), lambda e: scale_float(F.lit(53) - e, a).cast("long"))
+    return F.when(a == 0, F.lit(0).cast("long")).otherwise(mantissa), F.when(a == 0, F.lit(0)).otherwise(exponent(a) - 53)
 
 
 def encode_float(m: Any, e: Any) -> Column:

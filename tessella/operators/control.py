@@ -53,8 +53,11 @@ def aiterate(n: int, step: Callable[[Any], Any], a: Any) -> Any:
     return a
 
 
-def iterate(n: int, f: Callable[[Column], Column], x: Column) -> Column:
-    """``f`` n times on a scalar."""
+def iterate(n: int | Column, f: Callable[[Column], Column], x: Column) -> Column:
+    """``f`` n times on a scalar; a count that is a column is a loop within the expression."""
+    if isinstance(n, Column):
+        rounds = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(rounds, x, lambda acc, _: f(acc))
     for _ in range(n):
         x = f(x)
     return x

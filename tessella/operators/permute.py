@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import blocks
-from ..plans.arr import Arr, Dim, as_column, as_tuple, unlinear
+from ..plans.arr import Arr, Dim, as_column, as_tuple, div, unlinear
 from ..plans.arr import names as names_of
 from ..sources.arrays import fill, generate
 from .elementwise import zip_with
@@ -39,8 +39,19 @@ class Affine:
         return -self + n
 
 
+#: Elements that ``expand`` makes from one row before the row is cut into pieces that go to tasks of their own.
+PIECE = 1 << 16
+
+
+def _read(met: DataFrame, values: Sequence[str], asked: Column | None = None) -> list[Column]:
+    """The joined values; where nothing met (and something was ``asked`` for), the index lies outside the array: an error."""
+    outside = F.col("has_").isNull() if asked is None else F.col("has_").isNull() & asked
+    wrong = F.raise_error(F.lit("index outside the array"))
+    return [F.when(outside, wrong.cast(met.schema[v].dataType)).otherwise(F.col(v)).alias(v) for v in values]
+
+
 def backpermute(extent: Sequence[int], p: Callable[..., Any], a: Arr) -> Arr:
-    """out[ix] = a[p(ix)]. An affine one-to-one ``p`` is inverted into a projection; any other is an equi-join on the index."""
+    """out[ix] = a[p(ix)]; an index outside ``a`` is an error. An affine one-to-one ``p`` is inverted into a projection; any other is an equi-join on the index."""
     ext = tuple(int(n) for n in extent)
     try:
         src = as_tuple(p(*[Affine(k) for k in range(len(ext))]))
@@ -63,24 +74,30 @@ def backpermute(extent: Sequence[int], p: Callable[..., Any], a: Arr) -> Arr:
     frame = generate(a.spark, ext, lambda *ix: tuple(as_column(c).cast("long") for c in as_tuple(p(*ix))))
     want = frame.df.select(*frame.ix, *[F.col(n).alias(f"j{k}") for k, n in enumerate(frame.names)])
     have = a.df.select(*[F.col(c).alias(f"j{k}") for k, c in enumerate(a.ix)], *a.names)
-    df = want.join(have, [f"j{k}" for k in range(a.rank)]) if a.rank else want.crossJoin(F.broadcast(have))
-    return Arr.of(df.select(*frame.ix, *a.names), ext, len(a.values))
+    if not a.rank:
+        return Arr.of(want.crossJoin(F.broadcast(have)).select(*frame.ix, *a.names), ext, len(a.values))  # one row
+    met = want.join(have.withColumn("has_", F.lit(True)), [f"j{k}" for k in range(a.rank)], "left")
+    return Arr.of(met.select(*frame.ix, *_read(met, a.names)), ext, len(a.values))
 
 
 def gather(indices: Arr, source: Arr) -> Arr:
-    """The source's elements at the given positions."""
+    """The source's elements at the given positions; a position outside it is an error."""
     want = indices.df.select(*indices.ix, F.col("v").cast("long").alias("at_"))
     have = source.df.select(F.col("i0").alias("at_"), *source.names)
-    return Arr.of(want.join(have, "at_").select(*indices.ix, *source.names), indices.known, len(source.values))
+    met = want.join(have.withColumn("has_", F.lit(True)), "at_", "left")
+    return Arr.of(met.select(*indices.ix, *_read(met, source.names)), indices.known, len(source.values))
 
 
 def gather_if(indices: Arr, mask: Arr, pred: Callable[[Any], Column], defaults: Arr, source: Arr) -> Arr:
-    """Gathers where the mask holds, else takes the default."""
-    want = zip_with(lambda i, m, d: (F.when(pred(m), i.cast("long")), *as_tuple(d)), indices, mask, defaults)
+    """Gathers where the mask holds, else takes the default. A position that the mask holds at must lie in the source."""
+    outside = F.lit(-1).cast("long")  # a missing position reads nothing, which is an error as well
+    want = zip_with(lambda i, m, d: (F.when(pred(m), F.coalesce(i.cast("long"), outside)), *as_tuple(d)), indices, mask, defaults)
     df = want.df.toDF("i0", "at_", *[f"d{k}" for k in range(len(defaults.values))])
     have = source.df.select(F.col("i0").alias("at_"), *source.names)
-    met = df.join(have, "at_", "left")
-    return Arr.of(met.select("i0", *[F.when(F.col("at_").isNotNull(), F.col(n)).otherwise(F.col(f"d{k}")).alias(n) for k, n in enumerate(source.names)]), want.known, len(source.values))
+    met = df.join(have.withColumn("has_", F.lit(True)), "at_", "left")
+    asked = F.col("at_").isNotNull()
+    got = _read(met, source.names, asked)
+    return Arr.of(met.select("i0", *[F.when(asked, g).otherwise(F.col(f"d{k}")).alias(n) for k, (g, n) in enumerate(zip(got, source.names))]), want.known, len(source.values))
 
 
 def permute(op: Any, defaults: Arr, to: Callable[..., Any], a: Arr) -> Arr:
@@ -154,23 +171,37 @@ def compact(flags: Arr, a: Arr) -> tuple[Arr, Arr]:
 
 
 def expand(size: Callable[[Any], Column], get: Callable[[Any, Column], Any], a: Arr) -> Arr:
-    """Each element x yields get(x, 0) to get(x, size(x) - 1), in order. The places come from a prefix sum of the sizes, so nothing is sorted as a whole."""
+    """Each element x yields get(x, 0) to get(x, size(x) - 1), in order.
+
+    The places come from a prefix sum of the sizes, so nothing is sorted as a whole. An element that yields more than
+    PIECE is cut into pieces, which are spread over the tasks; no array holds more than PIECE numbers.
+    """
     a = flatten(a) if a.rank > 1 else a
     sz = F.greatest(as_column(size(a.value)).cast("long"), F.lit(0).cast("long"))
     df = a.with_values((*a.values, sz)).df.toDF("i0", *a.names, "n_").withColumn("to_", F.col("n_"))
     run = blocks.scan(df, [], "i0", ["to_"], "sum", ["long"], a.known[0])
-    each = run.where("n_ > 0").withColumn("k_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)))
+    zero = F.lit(0).cast("long")
+    small = run.where(F.col("n_").between(1, PIECE)).withColumn("k_", F.explode(F.sequence(zero, F.col("n_") - 1)))
+    pieces = run.where(F.col("n_") > PIECE).withColumn("piece_", F.explode(F.sequence(zero, div(F.col("n_") - 1, PIECE))))
+    first = F.col("piece_") * PIECE
+    inner = F.sequence(first, F.least(first + PIECE, F.col("n_")) - 1)
+    each = small.unionByName(pieces.repartition("i0", "piece_").withColumn("k_", F.explode(inner)).drop("piece_"))
     vals = [F.col(v) for v in a.names]
     out = [as_column(x) for x in as_tuple(get(vals[0] if len(vals) == 1 else tuple(vals), F.col("k_")))]
     return Arr.of(each.select((F.col("to_") - F.col("n_") + F.col("k_")).alias("i0"), *[x.alias(n) for x, n in zip(out, names_of(len(out)))]), (None,), len(out))
 
 
 def at(a: Arr, ix: Sequence[Column], b: Arr, f: Callable[[Any, Any], Any]) -> Arr:
-    """``f(value of b, a[ix])`` where ``ix`` are columns of b: array indexing within a scalar expression, as a join."""
+    """``f(value of b, a[ix])`` where ``ix`` are columns of b: array indexing within a scalar expression, as a join. An index outside ``a`` is an error."""
     keys = [f"k{k}_" for k in range(a.rank)]
     left = b.with_values((*b.values, *[c.cast("long") for c in ix])).df.toDF(*b.ix, *b.names, *keys)
     right = a.df.toDF(*keys, *[f"a{k}_" for k in range(len(a.values))])
-    met = left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+    if keys:
+        met = left.join(right.withColumn("has_", F.lit(True)), keys, "left")
+        own = _read(met, [f"a{k}_" for k in range(len(a.values))])
+        met = met.select(*b.ix, *b.names, *own)
+    else:
+        met = left.crossJoin(F.broadcast(right))  # one row
     va, vb = [F.col(f"a{k}_") for k in range(len(a.values))], [F.col(v) for v in b.names]
     out = [as_column(x) for x in as_tuple(f(vb[0] if len(vb) == 1 else tuple(vb), va[0] if len(va) == 1 else tuple(va)))]
     return Arr.of(met.select(*b.ix, *[x.alias(n) for x, n in zip(out, names_of(len(out)))]), b.known, len(out))

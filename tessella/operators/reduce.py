@@ -35,10 +35,9 @@ def fold(op: Any, z: Any, a: Arr) -> Arr:
     total, combine = _total(a, op), blocks.combiner(op, len(a.values), a.types)
     if outer:
         return total.with_values(combine(seed, total.values))
-    rows = total.df if a.rank == 1 else total.df
-    got = a.spark.range(1).select().join(rows, F.lit(True), "left")  # one row, also of an empty vector
+    got = a.spark.range(1).select().join(total.df.withColumn("has_", F.lit(True)), F.lit(True), "left")  # one row, also of an empty vector
     both = combine(seed, [F.col(v) for v in a.names])
-    missing = F.col(a.names[0]).isNull()
+    missing = F.col("has_").isNull()
     return Arr.of(got.select(*[F.when(missing, s).otherwise(b).alias(v) for s, b, v in zip(seed, both, a.names)]), (), len(a.values))
 
 

@@ -187,6 +187,11 @@ def null(a: Arr) -> bool:
     return a.size == 0
 
 
+def index1(i: Any) -> tuple:
+    """A rank-1 index."""
+    return (i,)
+
+
 def index_head(ix: Sequence[Any]) -> Any:
     return ix[-1]
 

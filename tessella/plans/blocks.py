@@ -68,7 +68,8 @@ def fold(df: DataFrame, part: list[str], pos: str, vals: list[str], op: Op, type
     """One row (part..., vals...) for each part that has rows; elements are combined in the order of ``pos`` (a long)."""
     ops = built_in(op, len(vals))
     if ops:
-        return df.groupBy(*part).agg(*[BUILT_IN[o][0](v).cast(t).alias(v) for o, v, t in zip(ops, vals, types)])
+        total = df.groupBy(*part).agg(*[BUILT_IN[o][0](v).cast(t).alias(v) for o, v, t in zip(ops, vals, types)], *([] if part else [F.count("*").alias("n_")]))
+        return total if part else total.where("n_ > 0").drop("n_")
     n, combine = len(vals), combiner(op, len(vals), types)
     while True:
         one = extent is not None and extent <= PACKED_BLOCK
@@ -145,7 +146,12 @@ def dense(df: DataFrame, pos: str, extent: int, name: str) -> DataFrame:
     width = max(1, -(-extent // ranges))
     df = df.withColumn("range_", div(F.col(pos), width))
     counts = df.groupBy("range_").agg(F.count("*").alias("n_"))
-    # at most extent / 2^18 rows (or one per shuffle partition), so one task sums them
-    before = counts.select(F.col("range_").alias("range_k"), F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)).alias("before_"))
+    # there may be as many ranges as rows, so their counts are summed in groups of WINDOW_BLOCK ranges, some of them missing;
+    # one task sums the groups: extent / 2^34 rows
+    counts = counts.withColumn("group_", div(F.col("range_"), WINDOW_BLOCK))
+    past = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("group_").agg(F.sum("n_").alias("n_")).select(F.col("group_").alias("group_k"), past(W.orderBy("group_")).alias("past_"))
+    inner = counts.select("range_", "group_", past(W.partitionBy("group_").orderBy("range_")).alias("in_"))
+    before = inner.join(groups, F.col("group_") == F.col("group_k")).select(F.col("range_").alias("range_k"), (F.col("in_") + F.col("past_")).alias("before_"))
     place = F.row_number().over(W.partitionBy("range_").orderBy(pos)) - 1
     return df.withColumn("place_", place).join(before, F.col("range_") == F.col("range_k")).withColumn(name, F.col("place_") + F.coalesce("before_", F.lit(0))).drop("range_", "range_k", "place_", "before_")

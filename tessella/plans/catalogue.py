@@ -188,7 +188,7 @@ query("filter_2d", f"SELECT row_number() OVER (ORDER BY i0, i1) - 1 AS i0, v FRO
 query("compact", f"SELECT row_number() OVER (ORDER BY i0) - 1 AS i0, a.v FROM {ORD} a JOIN {EV} b USING (i0) WHERE b.v % 3 = 0")(lambda t: p.compact(e.amap(lambda v: v % 3 == 0, t.events), t.orders)[0])
 query("expand", f"SELECT row_number() OVER (ORDER BY i0, k) - 1 AS i0, v * 10 + k AS v FROM (SELECT i0, v, unnest(range(v % 4)) AS k FROM {EV})")(lambda t: p.expand(lambda v: v % 4, lambda v, k: v * 10 + k, t.events))
 query("index", f"SELECT i0, a.v - b.v AS v FROM {ORD} a JOIN (SELECT i0 AS j, v FROM {PART}) b ON b.j = a.v % (SELECT count(*) FROM part)")(lambda t: (lambda pt, o: p.at(pt, [o.value % pt.extent[0]], o, lambda v, x: v - x))(t.parts, t.orders))
-query("index_linear", f"SELECT o.i0, o.v + m.v AS v FROM {ORD} o JOIN (SELECT i0 * 64 + i1 AS k, v FROM {MAT}) m ON m.k = o.i0")(lambda t: (lambda m, o: p.at_linear(m, o.dims[0].column, o, lambda v, x: v + x))(t.matrix, t.orders))
+query("index_linear", f"SELECT o.i0, o.v + m.v AS v FROM {ORD} o JOIN (SELECT i0 * 64 + i1 AS k, v FROM {MAT}) m ON m.k = o.i0 % ({NV} * 64)")(lambda t: (lambda m, o: p.at_linear(m, o.dims[0].column % m.size, o, lambda v, x: v + x))(t.matrix, t.orders))
 query("the", f"SELECT i0, v - (SELECT min(v) FROM {ORD}) AS v FROM {ORD}")(lambda t: (lambda o: p.the(r.minimum(o), o, lambda v, x: v - x))(t.orders))
 
 # ---------------------------------------------------------------- reductions
@@ -362,3 +362,5 @@ query("complex", f"SELECT i0, round(a * x - b * y, 4) AS v_1, round(a * y + b *
 query("ratio", f"SELECT i0, n // gcd(n, d) AS v_1, d // gcd(n, d) AS v_2 FROM (SELECT i0, (v % 100 + 1) * 7 + 3 * (i0 % 50 + 1) AS n, 7 * (i0 % 50 + 1) AS d FROM {ORD})")(
     lambda t: e.imap(lambda ix, v: (lambda q: (q["num"], q["den"]))(fd.radd(fd.ratio(v % 100 + 1, ix[0] % 50 + 1), fd.ratio(3, 7))), t.orders)
 )
+
+from . import catalogue_forms, catalogue_scalars  # noqa: E402, F401 - they register queries of their own

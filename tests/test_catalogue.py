@@ -8,7 +8,7 @@ import pytest
 from tessella.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = "generate imap zip_with reshape transpose backpermute gather permute_2d scatter filter_2d expand fold_mss run_fold fold_seg scanl scanr1_seg stencil5_mirror stencil3x3 smvm radixsort intdiv bits gcd complex".split()
+SOME = "generate imap zip_with reshape transpose backpermute gather permute_2d scatter filter_2d expand fold_mss run_fold fold_seg scanl scanr1_seg stencil5_mirror stencil3x3 smvm radixsort intdiv bits gcd complex zip_with5 izip_with9 unzip4 index_linear monoid_ordering scan_seq to_seq_outer3 iterate_counted float_division float_parts rotations to_rational maybe_monad polar".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 

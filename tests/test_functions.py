@@ -87,3 +87,15 @@ def test_gcd_power_data(sp):
     assert abs(complex(re, im) ** 2 - (-3 + 4j)) < 1e-12 and m == 5
     assert col(sp, [d.maybe(0, lambda x: x + 1, a), d.bind(a, lambda x: F.when(x > 1, x)), d.lift_m(lambda x, y: x * y, a, b)], [(2, 5), (None, 5), (1, None)], "a long, b long") == [(3, 2, 10), (0, None, None), (2, None, None)]
     assert col(sp, list(d.unvec(d.vec(a, b, a), 3)), [(1, 2)], "a long, b long") == [(1, 2, 1)]
+
+
+def test_signs_of_zero_divisors_and_exponents(sp):
+    a, b = F.col("a"), F.col("b")
+    got = col(sp, [s.fdiv(a, b).cast("string"), s.recip(b).cast("string")], [(1.0, -0.0), (-1.0, -0.0), (0.0, -0.0), (1.0, 0.0)], "a double, b double")
+    assert got == [("-Infinity", "-Infinity"), ("Infinity", "-Infinity"), ("NaN", "-Infinity"), ("Infinity", "Infinity")]
+    with pytest.raises(Exception, match="negative exponent"):
+        col(sp, [s.power(a, F.lit(-1))], [(2,)], "a long")
+    with pytest.raises(Exception, match="nothing"):
+        col(sp, [d.from_just(a)], [(None,)], "a long")
+    nested = col(sp, [d.nest(a).isNull(), d.join_maybe(d.nest(a))], [(None,), (3,)], "a long")
+    assert nested == [(False, None), (False, 3)]

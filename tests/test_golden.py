@@ -220,3 +220,43 @@ def test_radix_sort_of_any_key(spark):
     for xs in ([65536, 1], [-1, 1]):
         with pytest.raises(ValueError, match="fit"):
             programs.radix_sort_by(lambda v: v, a.from_list(spark, (2,), xs, "long"), bits=16)
+
+
+def test_reads_outside_are_errors(spark, v):
+    two = a.from_list(spark, (2,), [5, 6], "long")
+    where = a.from_list(spark, (3,), [0, 9, 1], "long")
+    assert L(p.gather(a.from_list(spark, (3,), [1, 0, 1], "long"), two)) == [6, 5, 6]
+    mask = a.from_list(spark, (3,), [1, 0, 1], "long")
+    default = a.fill(spark, (3,), F.lit(-1).cast("long"))
+    assert L(p.gather_if(where, mask, lambda m: m == 1, default, two)) == [5, -1, 6]
+    for bad in (
+        lambda: p.gather(where, two),
+        lambda: p.gather_if(where, mask, lambda m: m >= 0, default, two),
+        lambda: p.backpermute((3,), lambda i: i * F.lit(1), two),
+        lambda: p.at(two, [where.value], where, lambda x, y: y),
+        lambda: p.at_linear(two, where.value, where, lambda x, y: y),
+    ):
+        with pytest.raises(Exception, match="outside the array"):
+            L(bad())
+
+
+def test_expand_cuts_large_elements(spark, monkeypatch):
+    monkeypatch.setattr(p, "PIECE", 4)
+    xs = a.from_list(spark, (4,), [3, 11, 0, 4], "long")
+    assert L(p.expand(lambda x: x, lambda x, k: x * 100 + k, xs)) == [x * 100 + k for x in (3, 11, 0, 4) for k in range(x)]
+
+
+def test_places_from_many_ranges(spark, monkeypatch):
+    from tessella.plans import blocks
+
+    monkeypatch.setattr(blocks, "WINDOW_BLOCK", 8)
+    at = [7, 3, 900, 41, 40, 1 << 40, (1 << 40) + 5]
+    df = spark.createDataFrame([(x,) for x in at], "p long")
+    assert {r["p"]: r["i"] for r in blocks.dense(df, "p", (1 << 40) + 6, "i").collect()} == {x: k for k, x in enumerate(sorted(at))}
+
+
+def test_fold_of_nulls_and_of_nothing(spark):
+    assert L(r.fold("max", 7, a.empty_array(spark, 1, "long"))) == [7]
+    none = a.from_list(spark, (2,), [None, None], "long")
+    first = lambda x, y: F.coalesce(x, y)
+    assert L(r.fold(first, 7, none)) == [7] and L(r.fold(lambda x, y: y, 7, none)) == [None]
