@@ -5,7 +5,8 @@ after a number, names (capitalised within a sentence) and capitalised sentence o
 taken with those as plain words, so a change of case hides nothing. A window that has too few literal words is widened
 until it has enough, up to ``WIDEST`` tokens; if numbers and units alone make them too few, it is also taken
 with its values as they stand, so an item of three tokens or more has a window whatever it is made of. Windows of ``WINDOW`` tokens
-are hashed and joined to those of the benchmark's items; items of fewer tokens are one window. A window without slots,
+are hashed and joined to those of the benchmark's items; items of fewer tokens are one window. An item of one or two tokens
+says nothing within a text: it is found where it is the whole text. A window without slots,
 or with the item's own values in them, is a leak by itself. Any other must be consistent along its alignment
 of document and item: every value of the item in it stands for one value of the document
 and the other way round. So a question with other numbers or names is caught, and chance agreement of templates isn't.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .common import fresh, materialise, utf8
 WINDOW = 8
 #: Literal words that a window needs: templates of placeholders alone say nothing.
 LITERAL = 5
-#: Tokens of the widest window.
-WIDEST = 32
+#: Tokens of the widest window, and of the shortest within a text.
+WIDEST, LEAST = 32, 3
 #: Forms of a window: with placeholders, with names and openers as plain words, with every value as it stands.
 TYPED, PLAIN, EXACT = 0, 1, 2
 MAX_BITS = 28
@@ -115,6 +117,16 @@ class Words(dict):
         return out
 
 
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """How many tokens each word has."""
+        out = np.empty(len(words), np.int64)
+        for at in range(0, len(words), SLAB):
+            some = words[at : at + SLAB]
+            code = self.codes(some)  # which may replace meta
+            out[at : at + len(some)] = self.meta[code, 0]
+        return out
+
+
 _words = Words()
 
 
@@ -169,6 +181,11 @@ class Tokens:
         m = len(self.hash) - width + 1
         if m <= 0:
             return
+        if width < LEAST:  # whole texts
+            first, count = np.unique(self.text, return_index=True, return_counts=True)[1:]
+            at = first[count == width]
+            yield EXACT, at, np.full(len(at), width), self._exact(at, width)
+            return
         least = LITERAL if width == WINDOW else max(3, width - 3)
         whole = self.text[width - 1 :] == self.text[:m]
         cap = self.kind >= NAME
@@ -205,12 +222,16 @@ class Tokens:
                         v[open_] += x[wide[open_] + k] * POWERS[k]
                     yield form, wide, size, _stirred(v)
             if form == PLAIN and len(few):
-                v = np.zeros(len(few), np.uint64)
-                for k in range(width):
-                    t = few + k
-                    c = self.code[self.word[t]]
-                    v += np.where(self.second[t], self.table[c, 1], self.table[c, 2]) * POWERS[k]
-                yield EXACT, few, np.full(len(few), width), _stirred(v ^ U(_mark_hash(UNIT)))
+                yield EXACT, few, np.full(len(few), width), self._exact(few, width)
+
+    def _exact(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of windows with every value as it stands."""
+        v = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            t = at + k
+            c = self.code[self.word[t]]
+            v += np.where(self.second[t], self.table[c, 1], self.table[c, 2]) * POWERS[k]
+        return _stirred(v ^ U(_mark_hash(UNIT)))
 
     def value(self, k: int) -> str:
         """What stands in a slot."""
@@ -233,24 +254,45 @@ class Tokens:
         return " ".join(out), slots
 
 
-def slabs(texts: list[bytes]) -> Iterator[tuple[list[int], list[list[bytes]], list[int]]]:
-    """Texts in runs of about SLAB words; a longer text comes in pieces that overlap by a window. Rows, words and the offset of each piece."""
-    rows, held, offs, size = [], [], [], 0
+@dataclass
+class Piece:
+    """Words of a text from ``start`` on, of which windows that begin at ``own`` to ``end`` count here; the others give them their surroundings."""
+
+    row: int
+    words: list[bytes]
+    start: int
+    own: int
+    end: int
+    whole: bool
+
+
+def pieces(row: int, words: list[bytes], vocab: Words) -> Iterator[Piece]:
+    """A text, in pieces of SLAB words if it is longer. Each window is in one piece only, and is what it is in the whole text."""
+    if len(words) <= SLAB:
+        yield Piece(row, words, 0, 0, len(words), True)
+        return
+    count = vocab.tokens(words)
+    before = np.concatenate(([0], np.cumsum(count)))
+    for own in range(0, len(words), SLAB):
+        end = min(own + SLAB, len(words))
+        # back to a word that has tokens, on to the word that ends the widest window
+        start = max(min(own - 1, int(np.searchsorted(before, before[own], "left")) - 1), 0)
+        stop = min(int(np.searchsorted(before, before[end] + WIDEST, "left")) + 1, len(words))
+        yield Piece(row, words[start:stop], start, own, end, False)
+
+
+def slabs(texts: list[bytes], vocab: Words) -> Iterator[list[Piece]]:
+    """Texts in runs of about SLAB words."""
+    held, size = [], 0
     for k, raw in enumerate(texts):
-        words = split(raw)
-        step = SLAB
-        for at in range(0, max(len(words), 1), step):
-            # overlap: enough words for every window that starts before the cut, and one for the sentence before it
-            piece = words[max(at - 1, 0) : at + step + 8 * WIDEST]
-            rows.append(k)
+        for piece in pieces(k, split(raw), vocab):
             held.append(piece)
-            offs.append(max(at - 1, 0))
-            size += len(piece)
+            size += len(piece.words)
             if size >= SLAB:
-                yield rows, held, offs
-                rows, held, offs, size = [], [], [], 0
-    if rows:
-        yield rows, held, offs
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _bits(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +300,7 @@ def _bits(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """(hash, item_id, pos, width, template, slots) of every window of every item; an item of under three tokens has none."""
+    """(hash, item_id, pos, width, template, slots) of every window of every item; an item without tokens has none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary()
@@ -267,7 +309,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
             for item, raw in zip(ids, utf8(batch.column("text"))):
                 t = Tokens([split(raw)], vocab)
                 width = min(WINDOW, len(t.hash))
-                for form, at, n, h in ((f, *x) for f, *some in t.windows(width) for x in zip(*(y.tolist() for y in some))) if width >= 3 else ():
+                for form, at, n, h in ((f, *x) for f, *some in t.windows(width) for x in zip(*(y.tolist() for y in some))):
                     template, slots = t.template(at, n, form)
                     rows.append((np.uint64(h).astype(np.int64).item(), item, at, width, template, slots))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(KINDS)], names=["hash", "item_id", "pos", "width", "template", "slots"])
@@ -298,24 +340,38 @@ def bitmap(windows: DataFrame) -> tuple[np.ndarray, int, list[int]]:
 
 def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(d, x, hash, pos, template, slots) of the documents' windows that the bitmap lets through; d is the doc_id and x a hash of the text."""
-    bits, k, widths = bitmap(windows)
+    bits, k_bits, widths = bitmap(windows)
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # 32 MiB at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held = vocabulary(), shared.value
+        vocab, shared_bits = vocabulary(), shared.value
         for batch in batches:
             ids, keys, rows = batch.column("d"), batch.column("x"), []
-            for which, words, offs in slabs(utf8(batch.column("text"))):
-                t = Tokens(words, vocab)
-                for form, at, n, h in (x for width in widths for x in t.windows(width)):
-                    p, q = _bits(h, k)
-                    hit = np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & (held[q >> 3] >> (q & 7).astype(np.uint8)) & 1)
-                    for a, width, v in zip(at[hit].tolist(), n[hit].tolist(), h[hit].view(np.int64).tolist()):
-                        template, slots = t.template(a, width, form)
-                        piece = int(t.text[a])
-                        # tokens count from the piece's first word, so an alignment is one within a piece
-                        first = int(np.searchsorted(t.text, piece))
-                        rows.append((ids[which[piece]].as_py(), keys[which[piece]].as_py(), v, offs[piece] * 16 + a - first, template, slots))
+            past: dict[int, int] = {}  # tokens of a text before the words that the next piece owns
+            for held_pieces in slabs(utf8(batch.column("text")), vocab):
+                t = Tokens([x.words for x in held_pieces], vocab)
+                sizes = np.array([len(x.words) for x in held_pieces])
+                base = np.cumsum(sizes) - sizes
+                own = base + np.array([x.own - x.start for x in held_pieces])
+                end = base + np.array([x.end - x.start for x in held_pieces])
+                first, last = np.searchsorted(t.word, own), np.searchsorted(t.word, end)
+                offset = np.zeros(len(held_pieces), np.int64)
+                for k, x in enumerate(held_pieces):
+                    offset[k] = past.get(x.row, 0) - first[k]
+                    past[x.row] = past.get(x.row, 0) + int(last[k] - first[k])
+                whole = np.array([x.whole for x in held_pieces])
+                for width, (form, at, n, h) in ((w, x) for w in widths for x in t.windows(w)):
+                    p, q = _bits(h, k_bits)
+                    hit = np.flatnonzero((shared_bits[p >> 3] >> (p & 7).astype(np.uint8)) & (shared_bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1)
+                    piece = t.text[at[hit]]
+                    mine = (at[hit] >= first[piece]) & (at[hit] < last[piece])
+                    if width < LEAST:
+                        mine &= whole[piece]
+                    hit, piece = hit[mine], piece[mine]
+                    for a, size, v, k in zip(at[hit].tolist(), n[hit].tolist(), h[hit].view(np.int64).tolist(), piece.tolist()):
+                        template, slots = t.template(a, size, form)
+                        row = held_pieces[k].row
+                        rows.append((ids[row].as_py(), keys[row].as_py(), v, int(offset[k]) + a, template, slots))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], x) for c, x in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())])], names=["d", "x", "hash", "pos", "template", "slots"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("x"), F.col("text").cast("string").alias("text"))
@@ -328,7 +384,8 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     A window is literal if its slots hold the item's own values, or if it has none. It is slot-consistent if each of its
     values is paired with one value only in all windows of its alignment (document, item, offset); a conflict
     takes away the windows that hold it, no others. reparameterised says that some slot differs in every item found.
-    Null texts and items have no windows.
+    Null and empty texts and items have no windows. Rows that share a doc_id are judged each by its own text; repeated items
+    are found alike.
     """
     b = materialise(benchmark_windows(bench))
     found = document_windows(docs, b)

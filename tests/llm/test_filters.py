@@ -7,7 +7,7 @@ import re
 import zlib
 
 import numpy as np
-from tests.llm.conftest import EDGE, prose
+from tests.llm.conftest import EDGE, WORDS, prose
 
 from tessella.llm import decontaminate, licenses, quality, toxicity, urlfilter
 from tessella.llm.queries import URL_RULES
@@ -70,6 +70,99 @@ def test_items_of_few_words_and_many_values(table, spark):
     assert got[11]["reparameterised"] and got[13]["reparameterised"] and not got[1]["reparameterised"]
 
 
+def brute_leaks(docs, items):
+    """All windows of all documents against all windows of all items, template by template. Texts are plain words, numbers and names."""
+
+    def tokens(text):
+        out, begins = [], True
+        for w in (text or "").split():
+            core = w.rstrip(".")
+            kind = "<num>" if core.isdigit() else ("<open>" if begins else "<name>") if core[0].isupper() else ""
+            out.append((kind, core.lower()))
+            begins = w.endswith(".")
+        return out
+
+    def windows(text, width):
+        t, found = tokens(text), []
+        if 0 < width < 3:
+            return [(0, ("exact", *[x for _, x in t]), ())] if len(t) == width else []
+        for at in range(len(t) - width + 1 if width else 0):
+            for plain in (False, True):
+                least = 5 if width == 8 else max(3, width - 3)
+                word = [not k or (plain and k in ("<name>", "<open>")) for k, _ in t]
+                end = at + width
+                if sum(word[at:end]) < least:
+                    if width < 8:
+                        end = None
+                    else:
+                        end = next((e for e in range(at + 9, min(at + 32, len(t)) + 1) if sum(word[at:e]) == 5), None)
+                    if plain:
+                        found.append((at, ("exact", *[x for _, x in t[at : at + width]]), ()))
+                if end and (not plain or any(k in ("<name>", "<open>") for k, _ in t[at:end])):
+                    slots = [k + x for (k, x), w in zip(t[at:end], word[at:end]) if not w]
+                    found.append((at, tuple(x if w else k for (k, x), w in zip(t[at:end], word[at:end])), tuple(slots)))
+        return found
+
+    out = {}
+    for d, text in docs:
+        leaked = set()
+        for i, item in items:
+            lines, width = {}, min(8, len(tokens(item)))
+            for pos, template, slots in windows(text, width):
+                for at, other, own in windows(item, width):
+                    if template == other:
+                        lines.setdefault(pos - at, []).append((own, slots))
+            for met in lines.values():
+                pairs = {p for own, slots in met for p in zip(own, slots)}
+                left, right = [a for a, _ in pairs], [b for _, b in pairs]
+                fits = lambda own, slots: own == slots or all(left.count(a) == 1 and right.count(b) == 1 for a, b in zip(own, slots))  # noqa: E731, B023
+                if any(fits(own, slots) for own, slots in met):
+                    leaked.add(i)
+        out[d] = sorted(leaked)
+    return out
+
+
+def test_decontaminate_against_all_windows(table, spark, monkeypatch):
+    rng = random.Random(12)
+    few = WORDS[:9]
+
+    def text(n):
+        return " ".join(rng.choices([rng.choice(few), str(rng.randint(1, 4)), rng.choice(["Tom", "Ann", "Bob"])], [6, 2, 1])[0] + rng.choices(["", "."], [9, 1])[0] for _ in range(n))
+
+    items = [(k, text(rng.randint(1, 20))) for k in range(25)] + [(30, "kilo"), (31, "lima mike"), (32, None), (33, "")]
+    docs = [(k, text(rng.randint(1, 60))) for k in range(60)]
+    for k in range(60, 110):  # items with other numbers and names, within other words
+        t = " ".join(rng.choice([w, w, str(rng.randint(1, 4))]) if w.isdigit() else w for w in (rng.choice(items[:25])[1]).split())
+        docs.append((k, rng.choice([t, text(9) + " " + t, t + " " + text(9)])))
+    docs += [(120, "kilo"), (121, "Lima mike."), (122, "lima mike kilo"), (123, None)]
+    want = brute_leaks(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["leak"]["items"] for r in decontaminate.decontaminate(table(docs), bench).collect()}
+    assert got == want and sum(map(bool, want.values())) > 25 and not all(want.values())
+
+
+def test_pieces_change_nothing():
+    """Windows and positions of a text that is cut are those of the whole text."""
+    rng = random.Random(13)
+    words = [rng.choice(["alpha", "bravo", "5", "kg", "7kg", "Tom", "-", ".", "delta.", "..."]).encode() for _ in range(400)] + [b"."] * 300 + [b"kg", b"echo"] * 40
+    vocab = decontaminate.Words()
+
+    def found(size):
+        old, decontaminate.SLAB = decontaminate.SLAB, size
+        try:
+            out, past = [], 0
+            for piece in decontaminate.pieces(0, words, vocab):
+                t = decontaminate.Tokens([piece.words], vocab)
+                lo, hi = np.searchsorted(t.word, [piece.own - piece.start, piece.end - piece.start])
+                out += [(f, int(past + a - lo), int(n), int(h)) for f, at, ns, hs in t.windows(8) for a, n, h in zip(at, ns, hs) if lo <= a < hi]
+                past += hi - lo
+            return sorted(out)
+        finally:
+            decontaminate.SLAB = old
+
+    assert found(1 << 17) == found(37) == found(100) == found(1)
+
+
 def brute_url(url):
     _, mark, rest = (url or "").partition("://")
     host = re.match(r"[^/?#]*", rest)[0] if mark else ""
