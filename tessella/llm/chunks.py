@@ -3,6 +3,9 @@
 A chunk is a hash class of the documents, about ``CHUNK`` bytes of text. It sends each shard of a key space one row of
 packed, pre-aggregated keys; the shard's answer comes back to the chunk as one row. So a passage or line that a third
 of all documents hold reaches its shard once per chunk, texts are shuffled once, and no row of a join is a line.
+
+A message holds a key at least, so there are never more of them than keys. A task takes several chunks, one after another,
+where there are more than ``TASKS`` of them, so neither memory nor the number of tasks grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,17 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, parts, utf8
+from .common import NO_ID, documents, utf8
+
+CHUNK = 16 << 20
+TASKS = 1 << 15
+
 
-CHUNK = 4 << 20
+def tasks(n: int) -> int:
+    """Tasks for ``n`` chunks or shards."""
+    return min(n, TASKS)
 
 
 def chunked(docs: DataFrame, size: int = CHUNK) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) partitioned by chunk, and the number of chunks. The same plan wherever it is used, so its exchange is shared."""
+    """(chunk, doc_id, text) partitioned by chunk, and the number of chunks: at least one a core. The same plan wherever it is used, so its exchange is shared."""
     d = documents(docs)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = parts(docs.sparkSession, total, size)
-    return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text").repartition(n, "chunk"), n
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // size))
+    return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text").repartition(tasks(n), "chunk"), n
+
+
+def shards(docs: DataFrame, n: int, chunks_each: int) -> int:
+    """Shards for the keys of ``n`` chunks, at least one a core."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // chunks_each))
 
 
 def load(table: pa.Table) -> tuple[int, list[int | None], list[bytes]]:

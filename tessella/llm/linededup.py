@@ -2,20 +2,22 @@
 
 Distinct line hashes are sharded by their upper bits. Each shard builds a minimal perfect hash (one bit array per
 level; a key rests at the first level where it alone hits its bit, and its index is the rank of that bit) over
-its distinct hashes, which indexes compact arrays of fingerprints, document counts and first documents. Documents probe
-the arrays with packed hashes and get back those of repeated lines; lines themselves are never joined.
+its distinct hashes, which indexes compact arrays of fingerprints, document counts and first documents. The arrays of all
+shards are written as a table. Documents then probe them with the packed hashes of their lines and get back those
+of repeated lines; lines themselves are never joined.
 """
 
 from __future__ import annotations
 
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunks import chunked, compare_ids, cuts, load, shards_of
-from .common import LOWER, lean
+from .chunks import chunked, compare_ids, cuts, load, shards, shards_of, tasks
+from .common import LOWER, lean, materialise
 
 SPACES = b" \t\n\r\x0b\x0c"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -59,29 +61,30 @@ class PerfectHash:
 
 
 class LineIndex:
-    """One shard: fingerprint, document count (2 stands for more) and first document of each distinct line hash."""
+    """One shard: a perfect hash of its distinct line hashes, and compact arrays that it indexes: fingerprint, document count (2 stands for more) and first document.
+
+    key and print_ are the halves of 128-bit hashes; a line comes once from each chunk that holds it, with the first of the
+    chunk's documents that does and whether several do. Counts and first documents are gathered in the arrays, by probing.
+    """
 
     def __init__(self, key: np.ndarray, print_: np.ndarray, doc: np.ndarray, many: np.ndarray) -> None:
-        """key and print_ are the halves of 128-bit hashes; the same line comes once from each chunk that holds it."""
-        order = np.lexsort((doc, print_, key))
-        key, print_, doc, many = key[order], print_[order], doc[order], many[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (print_[1:] != print_[:-1]))) if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
-        several = np.maximum.reduceat(many, first).astype(bool) | (doc[first] != doc[last]) if len(first) else np.zeros(0, bool)
-        # keys of the perfect hash: both halves mixed, so two lines that agree in one half are two keys
-        mixed = self.mix(key[first], print_[first])
-        _, once, times = np.unique(mixed, return_index=True, return_counts=True)
-        twin = np.setdiff1d(np.arange(len(first)), once[times == 1])  # keys that even the mixture doesn't tell apart lie beside the arrays
-        self.twins = {(int(key[first[k]]), int(print_[first[k]])): (2 if several[k] else 1, int(doc[first[k]])) for k in twin}
-        if len(twin):
-            first, several, mixed = np.delete(first, twin), np.delete(several, twin), np.delete(mixed, twin)
-        self.hash = PerfectHash(mixed)
-        at = self.hash(mixed)
-        self.prints, self.counts, self.first = np.empty(len(at), np.uint32), np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
-        self.prints[at] = print_[first] & np.uint64(0xFFFFFFFF)
-        self.counts[at] = np.where(several, 2, 1)
-        self.first[at] = doc[first]
+        mixed = self.mix(key, print_)
+        self.hash = PerfectHash(np.unique(mixed))
+        at, n = self.hash(mixed), self.hash.size
+        whole = np.zeros(n, np.uint64)
+        whole[at] = print_
+        self.prints = (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.first, last, several = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, bool)
+        np.minimum.at(self.first, at, doc)
+        np.maximum.at(last, at, doc)
+        several[at[many > 0]] = True
+        self.counts = np.where(several | (self.first != last), 2, 1).astype(np.uint8)
+        # lines that even the mixture of both halves doesn't tell apart lie beside the arrays
+        odd = np.flatnonzero(np.isin(at, at[whole[at] != print_]))
+        self.twins: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, p, d, m in zip(key[odd].tolist(), print_[odd].tolist(), doc[odd].tolist(), many[odd].tolist()):
+            c, f = self.twins.get((k, p), (0, d))
+            self.twins[k, p] = (2 if m or c == 2 or (c and f != d) else 1, min(f, d))
 
     @staticmethod
     def mix(key: np.ndarray, print_: np.ndarray) -> np.ndarray:
@@ -116,6 +119,7 @@ def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
     is one empty line. Rows that share a doc_id are one document here; a null doc_id is one that comes last.
     """
     d, n = chunked(docs)
+    m = shards(docs, n, 8)
 
     def send(table: pa.Table) -> pa.Table:
         chunk, ids, texts = load(table)
@@ -132,16 +136,22 @@ def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
         many = np.array([x[1] for x in seen.values()], np.uint8)
         order = np.argsort(halves[:, 0], kind="stable")
         halves, doc, many = halves[order], doc[order], many[order]
-        rows = [(s, chunk, halves[a:b].tobytes(), doc[a:b].tobytes(), many[a:b].tobytes()) for s, a, b in cuts(shards_of(halves[:, 0], n), n)]
+        rows = [(s, chunk, halves[a:b].tobytes(), doc[a:b].tobytes(), many[a:b].tobytes()) for s, a, b in cuts(shards_of(halves[:, 0], m), m)]
         return pa.Table.from_pylist([dict(zip(("shard", "chunk", "keys", "docs", "many"), r)) for r in rows], SENT)
 
-    def answer(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk").to_pylist()
-        keys = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("keys").to_pylist()]
-        every = np.concatenate(keys)
-        index = LineIndex(every[:, 0], every[:, 1], np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8))
+    def build(table: pa.Table) -> pa.Table:
+        """The arrays of a shard."""
+        get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        every = get("keys", np.uint64).reshape(-1, 2)
+        index = LineIndex(every[:, 0], every[:, 1], get("docs", np.int64), get("many", np.uint8))
+        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), "arrays": pickle.dumps(index)}], INDEX)
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """What the arrays say of the lines of each chunk that are in several documents."""
+        index = pickle.loads(held.column("arrays")[0].as_py())  # noqa: S301 - written by ``build``
         rows = []
-        for c, k in zip(chunk, keys):
+        for c, raw in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
+            k = np.frombuffer(raw, np.uint64).reshape(-1, 2)
             count, first = index.probe(k[:, 0], k[:, 1])
             hit = count >= 2
             if hit.any():
@@ -163,11 +173,14 @@ def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
             dropped.append(len(every) - len(stay))
         return pa.table([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema=OUT)
 
-    sent = d.groupBy("chunk").applyInArrow(lean(send), "shard int, chunk int, keys binary, docs binary, many binary")
-    back = sent.repartition(n, "shard").groupBy("shard").applyInArrow(lean(answer), "chunk int, keys binary, docs binary")
+    sent = materialise(d.groupBy("chunk").applyInArrow(lean(send), "shard int, chunk int, keys binary, docs binary, many binary"))
+    index = materialise(sent.repartition(tasks(m), "shard").groupBy("shard").applyInArrow(lean(build), "shard int, arrays binary"))
+    asked = sent.select("shard", "chunk", "keys").repartition(tasks(m), "shard").groupBy("shard")
+    back = asked.cogroup(index.repartition(tasks(m), "shard").groupBy("shard")).applyInArrow(lean(probe), "chunk int, keys binary, docs binary")
     return d.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean(drop), "doc_id long, text string, n_lines long, n_dropped long")
 
 
+INDEX = pa.schema([("shard", pa.int32()), ("arrays", pa.binary())])
 SENT = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
 BACK = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import chunked, compare_ids, cuts, load, shards_of
+from .chunks import chunked, compare_ids, cuts, load, shards, shards_of, tasks
 from .common import lean
 
 LENGTH = 50
@@ -151,6 +151,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     here; a null doc_id comes after all others.
     """
     d, n = chunked(docs)
+    n = shards(docs, n, 2)
 
     def unique(seg: Segments, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchor hashes in order, whether two documents of the chunk have them, and each segment's place among them."""
@@ -314,9 +315,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     sent = d.groupBy("chunk").applyInArrow(lean(send), "shard int, chunk int, keys binary, many binary")
     back = "chunk int, shard int, kind int, a binary, b binary, c binary"
-    hits = sent.repartition(n, "shard").groupBy("shard").applyInArrow(lean(shared), back)
+    hits = sent.repartition(tasks(n), "shard").groupBy("shard").applyInArrow(lean(shared), back)
     segments = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lean(spread), "shard int, chunk int, text binary, size binary, off binary, docs binary")
-    told = segments.repartition(n, "shard").groupBy("shard").applyInArrow(lean(compare), back)
+    told = segments.repartition(tasks(n), "shard").groupBy("shard").applyInArrow(lean(compare), back)
     return d.groupBy("chunk").cogroup(hits.unionAll(told).groupBy("chunk")).applyInArrow(lean(remove), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
