@@ -3,7 +3,7 @@
 Every window of ``LENGTH`` bytes has an anchor: the position in it whose 20 bytes have the least hash. Equal windows
 have equal anchors, so only segments (runs of windows with one anchor) whose anchor occurs in two documents can
 repeat. Those meet in shards by anchor hash, where the suffixes at their windows are sorted deep-shallow: by
-8-byte characters (np.lexsort, in place of multikey quicksort) to a shallow depth, then blind tries (only branching positions and bytes) for
+multikey quicksort over 8-byte characters to a shallow depth, then by blind tries (only branching positions and bytes) for
 the groups that still agree. Windows that are equal over the whole length form a group, which keeps its smallest doc_id.
 
 Chunks pre-aggregate what they send, so a passage that a third of all documents hold reaches its shard once per chunk.
@@ -11,6 +11,8 @@ Chunks pre-aggregate what they send, so a passage that a third of all documents
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,48 +96,6 @@ class Segments:
         return [raw[a:b] for a, b in zip(self.at[k].tolist(), (self.at[k] + self.windows[k] + LENGTH - 1).tolist())]
 
 
-def suffix_groups(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the strings of LENGTH bytes at ``at``: their order, and for each place in it the place where its group of equal strings begins."""
-    u = _words(raw)
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-
-    def refine(active: np.ndarray, key: np.ndarray) -> None:
-        sub = np.lexsort((key, group[active]))
-        order[active] = order[active[sub]]
-        key, g = key[sub], group[active]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        group[active] = active[np.flatnonzero(new)][np.cumsum(new) - 1]
-
-    def open_groups(among: np.ndarray) -> np.ndarray:
-        g = group[among]
-        same = g[1:] == g[:-1]
-        return among[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-
-    active = np.arange(len(at)) if len(at) > 1 else np.zeros(0, np.int64)
-    for depth in range(0, SHALLOW, 8):
-        if len(active):
-            refine(active, u[at[order[active]] + depth].byteswap())
-            active = open_groups(active)
-    steps = [*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8]
-    b = np.frombuffer(raw, np.uint8)
-    while len(active):  # one level of all blind tries at a time
-        g = group[active]
-        here, ref = at[order[active]], at[order[g]]
-        differs = np.full(len(active), LENGTH, np.int64)
-        for s in reversed(steps):
-            x = u[here + s] ^ u[ref + s]
-            low = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3
-            differs = np.where(x != 0, s + low.astype(np.int64), differs)
-        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        branch = np.repeat(np.minimum.reduceat(differs, first), np.diff(np.append(first, len(g))))
-        live = branch < LENGTH
-        active = active[live]
-        if len(active):
-            refine(active, b[here[live] + branch[live]])
-            active = open_groups(active)
-    return order, group
-
-
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[k], start[k] + 1, ... of count[k] each, one after another."""
     if not len(count):
@@ -143,6 +103,108 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
+def quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], order: np.ndarray, group: np.ndarray, depth: int, step: int) -> None:
+    """Multikey quicksort of ``order`` by characters of ``step`` bytes, to ``depth`` bytes: each group is split by a pivot, the median of
+    three, into smaller, equal and greater characters; the equal ones go on with their next character. All groups
+    are split at once. ``group`` gets the place where each element's group of strings that agree to the depth begins.
+    """
+    n = len(order)
+    group[:] = 0
+    lo, size, deep = np.array([0]), np.array([n]), np.array([0])
+    while len(lo := lo[(some := size > 1) & (deep < depth)]):
+        size, deep = size[some & (deep < depth)], deep[some & (deep < depth)]
+        at, gid = ragged(lo, size), np.repeat(np.arange(len(lo)), size)
+        item = order[at]
+        key = key_at(item, deep[gid])
+        first = np.cumsum(size) - size
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)[1]
+        pivot = three[gid]
+        sides = (key < pivot, key == pivot, key > pivot)
+        begin, parts = lo.copy(), []
+        for side, further in zip(sides, (0, step, 0)):
+            upto = np.cumsum(side)
+            before = upto[first] - side[first]
+            count = upto[first + size - 1] - before
+            mine = np.flatnonzero(side)
+            place = begin[gid[mine]] + upto[mine] - 1 - before[gid[mine]]
+            order[place] = item[mine]
+            group[place] = begin[gid[mine]]
+            parts.append((begin.copy(), count, deep + further))
+            begin = begin + count
+        lo, size, deep = (np.concatenate(x) for x in zip(*parts))
+
+
+class BlindTrie:
+    """Strings by branching positions alone: an inner node holds the position at which its strings first differ and a child for each byte there; a leaf holds equal strings.
+
+    A string goes down by its bytes at the branching positions, blind to all others, is compared with the one leaf it comes to, and branches off
+    where the two first differ.
+    """
+
+    def __init__(self) -> None:
+        self.root: list | tuple | None = None
+
+    def insert(self, string: bytes, item: int) -> None:
+        if self.root is None:
+            self.root = [string, item]
+            return
+        node, path = self.root, []
+        while type(node) is tuple:
+            path.append(node)
+            node = node[1].get(string[node[0]]) or next(iter(node[1].values()))
+        other = node[0]
+        if other == string:
+            node.append(item)
+            return
+        x = int.from_bytes(string) ^ int.from_bytes(other)
+        split = len(string) - 1 - (x.bit_length() - 1) // 8
+        above = None
+        for inner in path:
+            if inner[0] >= split:
+                break
+            above = inner
+        leaf = [string, item]
+        below = self.root if above is None else above[1].get(string[above[0]])
+        if type(below) is tuple and below[0] == split:
+            below[1][string[split]] = leaf
+            return
+        branch = (split, {other[split]: below, string[split]: leaf})
+        if above is None:
+            self.root = branch
+        else:
+            above[1][string[above[0]]] = branch
+
+    def leaves(self) -> Iterator[list[int]]:
+        """The items of equal strings, in the order of the strings."""
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            if type(node) is tuple:
+                stack += [node[1][c] for c in sorted(node[1], reverse=True)]
+            elif node is not None:
+                yield node[1:]
+
+
+def suffix_groups(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the strings of LENGTH bytes at ``at``: their order, and for each place in it the place where its group of equal strings begins."""
+    u = _words(raw)
+    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    quicksort(lambda item, deep: u[at[item] + deep].byteswap(), order, group, SHALLOW, 8)
+    edge = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1 if len(at) else np.zeros(0, np.int64)
+    start = np.concatenate(([0], edge[:-1])) if len(edge) else edge
+    deep = edge - start > 1
+    for lo, hi in zip(start[deep].tolist(), edge[deep].tolist()):
+        trie = BlindTrie()
+        items = order[lo:hi].tolist()
+        for item, k in zip(items, at[items].tolist()):
+            trie.insert(raw[k : k + LENGTH], item)
+        for same in trie.leaves():
+            order[lo : lo + len(same)] = same
+            group[lo : lo + len(same)] = lo
+            lo += len(same)
+    return order, group
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for each row of ``docs``; kept holds the bytes that are left.
 
@@ -239,12 +301,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         start, windows = np.cumsum(size) - size, size - LENGTH + 1
         u = _words(raw)
         a = start + off
-        _, group, times = np.unique(_gram_hash(u[a], u[a + 4], u[a + 12]), return_inverse=True, return_counts=True)
-        # a segment that is its anchor's only one needs no sorting
-        alike = np.flatnonzero(times[group] > 1)
+        group = np.unique(_gram_hash(u[a], u[a + 4], u[a + 12]), return_inverse=True)[1]
         value = np.repeat(least, windows)
         base = np.cumsum(windows) - windows
-        alike = alike[np.argsort(group[alike], kind="stable")]
+        alike = np.argsort(group, kind="stable")
         edge = np.flatnonzero(np.diff(group[alike], prepend=-1, append=-1))  # where each anchor's segments begin
         upto = np.concatenate(([0], np.cumsum(windows[alike])))[edge]
         done = 0
