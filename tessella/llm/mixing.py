@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -131,13 +132,35 @@ def dense_rank(rows: DataFrame, group: Column | None, key: Column, ties: list[Co
     return out.withColumn(name, F.col(r) - 1 + F.coalesce(F.col(s), F.lit(0))).drop(g, b, r, s, before["g"], before["b"])
 
 
+def shuffled(doc_id: Column) -> Column:
+    """The first 15 hex digits of the MD5 of a doc_id's decimal digits, at the top of a long."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 4)
+
+
+def stored_order(docs: DataFrame, name: str) -> DataFrame | None:
+    """``docs`` with ``name``: each row's place in the Parquet files that it is read from, the files in the order in which they were written. None if ``docs`` isn't read from files.
+
+    The files' row counts are summed on one task: a row for each file.
+    """
+    part, at, past = (fresh(docs, x) for x in ("stored_part", "stored_at", "stored_past"))
+    try:
+        rows = docs.withColumns({part: F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), at: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+    sizes = rows.groupBy(part).agg(F.count("*").alias(past))
+    before = sizes.select(F.col(part).alias("p"), F.coalesce(F.sum(past).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(past))
+    met = rows.join(F.broadcast(before), F.col(part) == F.col("p"))  # as many rows as files, which the driver lists anyway
+    return met.select(*[docs[c] for c in docs.columns], (F.col(past) + F.col(at)).alias(name))
+
+
 def mix(docs: DataFrame, targets: Mapping[str, float], rest: float = 0.0, block: int = 32, quanta: int = 1000) -> DataFrame:
     """``docs`` with a struct column mix (pool, block, slot, position); an underscore is appended where that name is taken.
 
     ``targets`` holds the weight of each named source (a parameter, so of bounded number); all other sources, null
     among them, share the pool of weight ``rest`` (of 0: the least weight there is). Every row is kept and has its own
-    position, 0 to rows - 1. Rows of a pool are shuffled by a hash of doc_id; equal doc_ids are told apart by their
-    text, and wholly equal rows are interchangeable.
+    position, 0 to rows - 1. Rows of a pool are shuffled by the MD5 of doc_id (null: of nothing); equal doc_ids are told apart by their
+    text, and wholly equal rows are interchangeable. An empty table gives no rows.
     """
     names = sorted(targets)
     shares = quantised([*(float(targets[k]) for k in names), max(rest, min(targets.values(), default=1.0) / 1000)], quanta)
@@ -148,7 +171,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float], rest: float = 0.0, block:
     counts = [found.get(k, 0) for k in range(len(names) + 1)]
     plan = Plan.make(counts, shares, block)
     rank = fresh(rows, "mix_rank")
-    ranked = dense_rank(rows, F.col(p), F.xxhash64("doc_id"), [F.col("doc_id"), F.xxhash64("text")], rank, sum(counts))
+    ranked = dense_rank(rows, F.col(p), shuffled(F.col("doc_id")), [F.col("doc_id"), F.xxhash64("text")], rank, sum(counts))
 
     @arrow_udf("struct<slot: long, position: long>")
     def place(pools: pa.Array, ranks: pa.Array) -> pa.Array:
