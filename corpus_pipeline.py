@@ -44,9 +44,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, shard, slot), slots in the order of the mixture."""
-    order = mixing.mix(docs, MIX_TARGETS, MIX_REST).select("doc_id", F.col(f"{fresh(docs, 'mix')}.position").alias("position"))
-    return sharding.shard(docs, shards=40, order=order)
+    """(doc_id, size, tokens, text_crc32, shard, slot), slots in the order in which the mixture was written (or in that of the mixture, if ``docs`` isn't read from files)."""
+    at = fresh(docs, "position")
+    placed = mixing.stored_order(docs, at)
+    if placed is None:
+        m = fresh(docs, "mix")
+        placed = mixing.mix(docs, MIX_TARGETS, MIX_REST).withColumn(at, F.col(f"{m}.position"))
+    return sharding.shard(placed, shards=40, order=F.col(at))
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
@@ -56,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to ``documents``."""
+    """Apply every stage to ``documents``.
+
+    Rows without a text are judged as empty texts. Rows are told apart by doc_id and text: of those that share both, or that
+    are near-duplicates, one stays; a row without a doc_id is treated like any other. Other columns pass through to the
+    last stage, whatever their names. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
