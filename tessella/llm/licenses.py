@@ -1,16 +1,16 @@
 """License scans by canonical digest.
 
 A text is normalised (case, punctuation, white space, list marks, copyright lines, equivalent spellings) and the digest
-of the whole of it is hash-joined to the digests of known licences. Every line that speaks of licences is looked up in the
+of the whole of it is hash-joined to the digests of known licences, to which a caller can add a table of texts. Every line that speaks of licences is looked up in the
 same way among the known notices, so that a notice inside a larger text is found too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -19,7 +19,7 @@ from .common import fresh, utf8
 
 #: Spellings that count as the same, after punctuation is gone.
 EQUIVALENT = {
-    b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed", b"sublicence": b"sublicense", b"acknowledgement": b"acknowledgment",
+    b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed", b"sublicence": b"sublicense", b"sublicences": b"sublicenses", b"sublicenced": b"sublicensed", b"licencee": b"licensee", b"licencees": b"licensees", b"licencor": b"licensor", b"relicence": b"relicense", b"acknowledgement": b"acknowledgment",
     b"analogue": b"analog", b"analyse": b"analyze", b"artefact": b"artifact", b"authorisation": b"authorization", b"authorised": b"authorized", b"calibre": b"caliber",
     b"cancelled": b"canceled", b"capitalisations": b"capitalizations", b"catalogue": b"catalog", b"categorise": b"categorize", b"centre": b"center", b"emphasised": b"emphasized",
     b"favour": b"favor", b"favourite": b"favorite", b"fulfil": b"fulfill", b"fulfilment": b"fulfillment", b"initialise": b"initialize", b"judgement": b"judgment",
@@ -32,8 +32,10 @@ EQUIVALENT = {
 JOINS = b"-'`_"
 SEPARATES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 FOREIGN = ((b"\xe2\x80\x9c", b'"'), (b"\xe2\x80\x9d", b'"'), (b"\xe2\x80\x98", b"'"), (b"\xe2\x80\x99", b"'"), (b"\xe2\x80\x90", b"-"), (b"\xe2\x80\x91", b"-"), (b"\xe2\x80\x93", b"-"), (b"\xe2\x80\x94", b" "), (b"\xc2\xa0", b" "))
-COPYRIGHT = re.compile(rb"(?im)^[\s#*/;%.\-]*(?:(?:copyright\b|\(c\)|\xc2\xa9)[^\n]*(?:\d{4}|\(c\)|\xc2\xa9|<|\[)[^\n]*|all rights reserved[.!\s]*)$")
-LIST_MARK = re.compile(rb"(?m)^[ \t]*(?:[#*/;%]+|\(?(?:\d{1,2}|[a-hA-H]|[ivxIVX]{1,4})[.)]|[-+o\xe2\x80\xa2]+)[ \t]+")
+#: Lines of copyright, and marks of list items and comments, as regular expressions that SQL engines know too.
+COPYRIGHT_LINE = r"(?im)^[ \t\r\f\v#*/;%.\-]*(?:(?:copyright\b|\(c\)|©)[^\n]*(?:\d{4}|\(c\)|©|<|\[)[^\n]*|all rights reserved[.! \t\r\f\v]*)$"
+LIST_ITEM = r"(?m)^[ \t]*(?:[#*/;%]+|\(?(?:\d{1,2}|[a-hA-H]|[ivxIVX]{1,4})[.)]|(?:[-+o]|•)+)[ \t]+"
+COPYRIGHT, LIST_MARK = (re.compile(x.encode()) for x in (COPYRIGHT_LINE, LIST_ITEM))
 #: Every known notice has one of these; asserted below.
 TRIGGERS = (b"licen", b"spdx", b"public domain", b"cc by", b"cc0", b"creative commons")
 
@@ -49,7 +51,7 @@ def canonical(raw: bytes) -> bytes:
 
 
 def digest(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(canonical(raw))
+    return hashlib.md5(canonical(raw), usedforsecurity=False).digest()
 
 
 def notices(raw: bytes) -> list[bytes]:
@@ -107,31 +109,54 @@ _VERBS = ("Licensed under {}", "Licensed under a {}", "Released under {}", "Dist
 NOTICES = {k: [v.format(a + n) for n in names for v in _VERBS for a in ("", "the ", "terms of the ", "the terms of the ") if not (" a {" in v and a)] + ([n for n in names if "icense" in n]) + [f"SPDX-License-Identifier: {k}"] for k, names in _NAMES.items()}
 
 
-def known() -> list[tuple[bytes, str]]:
+#: Digests of long licences, whose texts aren't kept here: the whole text as its publisher gives it.
+LONG = {
+    "479bd977d91dc2fa5e526e442ea22f02": "Apache-2.0",
+    "ed0f0b6358a0b4487d095802293c6f8b": "Artistic-1.0-Perl",
+    "669fb5c886d64c4af4448ac0f6641673": "BSD-3-Clause",
+    "d7f3e9d4f115e1504ce6b5f89251f020": "CC0-1.0",
+    "fe0bcbad7dbc250833793599b06562da": "GFDL-1.2",
+    "6cbb92ad941e804833390437ab8cec41": "GFDL-1.3",
+    "8795abf07b04c08bd2f0c1e5758de877": "GPL-1.0",
+    "8ef1b6fe95d51f64f08183cc3bc4e4e2": "GPL-2.0",
+    "204b371d52482d97deb81209976d2b1f": "GPL-3.0",
+    "2aca20ce615f2966c6358be810676d16": "LGPL-2.0",
+    "fe0f7e30ebb6e2589e73d5f5df5d5f87": "LGPL-2.1",
+    "a0778154969eda294c2e16bc2eccbe82": "LGPL-3.0",
+    "2ac462a9e1f71b5c0a4d857d84a052f5": "MPL-1.1",
+    "96a946b8b3c959927a963b3b2bdc7eae": "MPL-2.0",
+}
+
+
+def known() -> dict[bytes, str]:
     """Digest and name of each known text and notice: a fixed list of some hundred rows."""
-    out = {digest(t.encode()): k for table in (NOTICES, TEXTS) for k, texts in table.items() for t in texts}
-    return sorted(out.items())
+    short = {digest(t.encode()): k for table in (NOTICES, TEXTS) for k, texts in table.items() for t in texts}
+    return short | {bytes.fromhex(d): k for d, k in LONG.items()}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """``docs`` with a struct column license (digest, name, notices); an underscore is appended where that name is taken.
 
-    name is the licence whose text the whole text is, else null; notices the licences named by its lines, each once,
-    sorted. A null text counts as empty, which is no licence. Every row is kept.
+    name is the licence whose text the whole text is, else null: one of ``known``, or of the texts of ``more`` (name, text), of which
+    the first by name counts where texts are equal. notices are the licences named by its lines, each once, sorted. A null
+    text counts as empty, which is no licence, in ``more`` too. Every row is kept, repeated ones as well.
     """
     assert all(any(t in n.lower().encode() for t in TRIGGERS) for names in NOTICES.values() for n in names)
+    names = known()
 
-    @arrow_udf("struct<digest: binary, lines: array<binary>>")
+    @arrow_udf("struct<digest: binary, notices: array<string>>")
     def digests(text: pa.Array) -> pa.Array:
         raw = utf8(text)
-        return pa.StructArray.from_arrays([pa.array([digest(x) for x in raw], pa.binary()), pa.array([notices(x) for x in raw], pa.list_(pa.binary()))], ["digest", "lines"])
+        lines = [sorted({names[x] for x in notices(y) if x in names}) for y in raw]
+        return pa.StructArray.from_arrays([pa.array([digest(x) for x in raw], pa.binary()), pa.array(lines, pa.list_(pa.string()))], ["digest", "notices"])
 
     spark = docs.sparkSession
-    rows = known()
     k, n, d = fresh(docs, "license_digest"), fresh(docs, "license_name"), fresh(docs, "license_digests")
-    table = F.broadcast(spark.createDataFrame([(bytearray(a), b) for a, b in rows], f"{k} binary, {n} string"))  # the fixed list above
-    names = F.create_map(*[F.lit(x) for a, b in rows for x in (a.hex(), b)])
+    table = F.broadcast(spark.createDataFrame([(bytearray(a), b) for a, b in sorted(names.items())], f"{k} binary, {n} string"))  # the fixed list above
+    if more is not None:
+        own = more.select(F.col("name").cast("string").alias(n), digests.asNondeterministic()(F.col("text").cast("string")).alias("d")).select(F.col("d.digest").alias(k), n)
+        own = own.where((F.col(k) != F.lit(digest(b""))) & F.col(n).isNotNull()).groupBy(k).agg(F.min(n).alias(n))
+        table = own.unionByName(table.join(own, k, "left_anti"))
     met = docs.withColumn(d, digests.asNondeterministic()(F.col("text").cast("string"))).join(table, F.col(f"{d}.digest") == F.col(k), "left")
-    lines = F.filter(F.transform(f"{d}.lines", lambda x: F.element_at(names, F.lower(F.hex(x)))), lambda x: x.isNotNull())
-    made = F.struct(F.lower(F.hex(f"{d}.digest")).alias("digest"), F.col(n).alias("name"), F.array_sort(F.array_distinct(lines)).alias("notices"))
+    made = F.struct(F.lower(F.hex(f"{d}.digest")).alias("digest"), F.col(n).alias("name"), F.col(f"{d}.notices").alias("notices"))
     return met.select(*[docs[c] for c in docs.columns], made.alias(fresh(docs, "license")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash, substringdedup, toxicity, urlfilter
+from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash, sql, substringdedup, toxicity, urlfilter
 
 #: Target weights of the mixture: the large source is held down, a few are raised, the rest get an even share.
 MIX_TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06} | {f"src{k}": 0.04 for k in range(5, 20)}
@@ -76,7 +76,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.scan(docs).select("doc_id", "license.*")
+    done = licenses.scan(docs).select("doc_id", "license.*")
+    return done.withColumn("notices", F.array_join("notices", ","))
 
 
 QUERIES = {
@@ -124,4 +125,8 @@ SELECT page_id, host, path, rule,
             WHEN host LIKE '%casino%' OR host LIKE '%-bets%' OR host LIKE '%cheap-pills%' OR '.' || host LIKE '%.ads-%' THEN 'block'
             ELSE 'allow' END AS verdict
 FROM e""",
+    "op1_simhash": sql.simhash(),
+    "op2_substring_dedup": sql.substring_dedup(),
+    "op8_mixing": sql.mixing(MIX_TARGETS, MIX_REST),
+    "op10_license_scan": sql.license_scan(),
 }

@@ -2,11 +2,13 @@
 
 import fnmatch
 import itertools
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 from tests.llm.conftest import EDGE, WORDS, prose
 
 from tessella.llm import decontaminate, licenses, quality, toxicity, urlfilter
@@ -317,6 +319,22 @@ def test_licenses(table):
     assert got[4]["notices"] == ["Apache-2.0", "MIT"] and got[7]["notices"] == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_long_licenses(table):
+    found = {n: open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read() for n in ("GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "Apache-2.0")}
+    docs = [(k, t.replace("license", "licence").replace("\n", "\r\n  ")) for k, t in enumerate(found.values())]
+    got = [r["license"]["name"] for r in licenses.scan(table(docs)).orderBy("doc_id").collect()]
+    assert got == ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0"]
+
+
+def test_licenses_of_the_caller(table, spark):
+    mine = "My own licence.\n\n1. Do as you like."
+    more = spark.createDataFrame([("Mine", mine), ("Later", mine.upper()), (None, "nameless"), ("Empty", None), ("My-MIT", licenses.TEXTS["MIT"][0])], "name string, text string")
+    docs = table([(1, mine), (1, mine), (2, "Copyright 2021 Me\nMY OWN LICENSE\n(a) do as you like"), (3, licenses.TEXTS["MIT"][0]), (4, licenses.TEXTS["Zlib"][0]), (5, None), (6, "nameless"), (7, "x " * 100000)], extra=True)
+    got = [(r["doc_id"], r["license_"]["name"]) for r in licenses.scan(docs, more).collect()]
+    assert sorted(got) == [(1, "Later"), (1, "Later"), (2, "Later"), (3, "My-MIT"), (4, "Zlib"), (5, None), (6, None), (7, None)]
+
+
 def test_edges(table, spark):
     docs, none = table(EDGE, extra=True), table([])
     bench, lab = spark.createDataFrame(BENCH, "item_id long, text string"), spark.createDataFrame([(4, 1, 1)], "doc_id long, quality int, toxic int")
