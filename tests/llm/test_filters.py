@@ -217,6 +217,55 @@ def test_toxicity_held_out(table, spark):
     assert all(r["toxicity"]["score"] == 0 for r in toxicity.toxicity(table(docs[:5]), none).collect())
 
 
+def test_noisy_or_gradient():
+    """Against differences of the likelihood, document by document."""
+    rng = np.random.default_rng(2)
+    doc, sent = np.array([0, 0, 1, 2, 2, 2]), np.array([0, 0, 1, 2, 2, 3, 4, 5, 5])
+    feat, yy = rng.integers(0, 4, 9), np.array([1, 0, 1])
+
+    def loss(x):
+        w, b, total = x[:-1], x[-1], 0.0
+        for d in range(3):
+            clean = 1.0
+            for s in np.flatnonzero(doc == d):
+                clean *= 1 - 1 / (1 + np.exp(-b - sum(w[f] for f in feat[sent == s])))
+            total -= np.log(1 - clean) if yy[d] else np.log(clean)
+        return total + toxicity.DECAY * (w @ w) / 2
+
+    x = rng.normal(size=5)
+    step = np.eye(5) * 1e-6
+    assert np.allclose(toxicity.gradient(x[:-1], x[-1], doc, sent, feat, yy), [(loss(x + e) - loss(x - e)) / 2e-6 for e in step], atol=1e-5)
+
+
+def test_training_and_scores_by_hand(table, spark):
+    """Counts, screen, bags and scores in plain loops over the same documents."""
+    rng = random.Random(18)
+    docs = [(k, ". ".join(prose(rng, 6)[:-1] + (" vermin" if k % 3 == 0 and rng.random() < 0.7 else "") for _ in range(3))) for k in range(300)]
+    y = {k: int("vermin" in t) for k, t in docs}
+    labels = spark.createDataFrame([(k, 1, v) for k, v in y.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.train(table(docs), labels)
+    learnt = [(k, t) for k, t in docs if zlib.crc32(str(k).encode()) % 4 != 2]
+    n, n1 = len(learnt), sum(y[k] for k, _ in learnt)
+    with_, kept = {}, []
+    for k, t in learnt:
+        for f in {f for w in re.findall(r"[a-z]+", t) for f in toxicity.features(w.encode())}:
+            with_.setdefault(f, [0, 0])[y[k]] += 1
+    for f, (c0, c1) in sorted(with_.items()):
+        exp = [(c0 + c1) * (n - n1) / n, (c0 + c1) * n1 / n]
+        g = 2 * sum(c * np.log(c / e) for c, e in zip((c0, c1), exp) if c)
+        if c1 >= 3 and g >= 16 and c1 / n1 > 4 * c0 / (n - n1):
+            kept.append(f)
+    assert {*model.weights} <= {*kept} and kept
+    out = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.scored(table(docs), model).collect()}
+    for k, t in docs:
+        clean = 1.0
+        for sentence in t.split("."):
+            got = [sum(model.weights.get(f, 0) for f in toxicity.features(w.encode())) for w in {*sentence.split()} if any(f in model.weights for f in toxicity.features(w.encode()))]
+            if got:
+                clean *= 1 - 1 / (1 + np.exp(-model.bias - sum(got)))
+        assert np.isclose(out[k], 1 - clean)
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
