@@ -103,22 +103,25 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], order: np.ndarray, group: np.ndarray, depth: int, step: int) -> None:
-    """Multikey quicksort of ``order`` by characters of ``step`` bytes, to ``depth`` bytes: each group is split by a pivot, the median of
-    three, into smaller, equal and greater characters; the equal ones go on with their next character. All groups
-    are split at once. ``group`` gets the place where each element's group of strings that agree to the depth begins.
+def quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], order: np.ndarray, group: np.ndarray, depth: int, step: int, starts: np.ndarray) -> None:
+    """Multikey quicksort of ``order`` by characters of ``step`` bytes, to ``depth`` bytes, within the buckets that begin at ``starts``: each group is split
+    by a pivot, the median of three, into smaller, equal and greater characters; the equal ones go on with their next
+    character. All groups are split at once. ``group`` gets the place where each element's group of strings that agree to the depth begins.
     """
     n = len(order)
-    group[:] = 0
-    lo, size, deep = np.array([0]), np.array([n]), np.array([0])
-    while len(lo := lo[(some := size > 1) & (deep < depth)]):
-        size, deep = size[some & (deep < depth)], deep[some & (deep < depth)]
+    lo, size = starts, np.diff(np.append(starts, n))
+    group[:] = np.repeat(lo, size)
+    deep, fresh = np.zeros(len(lo), np.int64), np.ones(len(lo), bool)
+    keys = np.empty(n, np.uint64)  # the characters of the elements at their places, read once a depth
+    while len(lo := lo[(some := (size > 1) & (deep < depth))]):
+        size, deep, fresh = size[some], deep[some], fresh[some]
         at, gid = ragged(lo, size), np.repeat(np.arange(len(lo)), size)
-        item = order[at]
-        key = key_at(item, deep[gid])
+        item, key = order[at], keys[at]
+        unread = np.flatnonzero(fresh[gid])
+        key[unread] = key_at(item[unread], deep[gid[unread]])
         first = np.cumsum(size) - size
-        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)[1]
-        pivot = three[gid]
+        x, y, z = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[gid]
         sides = (key < pivot, key == pivot, key > pivot)
         begin, parts = lo.copy(), []
         for side, further in zip(sides, (0, step, 0)):
@@ -127,84 +130,88 @@ def quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], order: np.
             count = upto[first + size - 1] - before
             mine = np.flatnonzero(side)
             place = begin[gid[mine]] + upto[mine] - 1 - before[gid[mine]]
-            order[place] = item[mine]
+            order[place], keys[place] = item[mine], key[mine]
             group[place] = begin[gid[mine]]
-            parts.append((begin.copy(), count, deep + further))
+            parts.append((begin.copy(), count, deep + further, np.full(len(lo), further > 0)))
             begin = begin + count
-        lo, size, deep = (np.concatenate(x) for x in zip(*parts))
+        lo, size, deep, fresh = (np.concatenate(x) for x in zip(*parts))
 
 
-class BlindTrie:
-    """Strings by branching positions alone: an inner node holds the position at which its strings first differ and a child for each byte there; a leaf holds equal strings.
+def blind_tries(raw: bytes, at: np.ndarray, order: np.ndarray, group: np.ndarray) -> None:
+    """Sorts each group of strings that agree to SHALLOW bytes by a blind trie; all tries grow at once, a level at a time, from the root.
 
-    A string goes down by its bytes at the branching positions, blind to all others, is compared with the one leaf it comes to, and branches off
-    where the two first differ.
+    An inner node is the position at which its strings first differ, with a child for each byte there; strings go down by
+    their bytes at the branching positions, blind to all others. A leaf holds equal strings.
+    """
+    u, b = _words(raw), np.frombuffer(raw, np.uint8)
+    lo = np.flatnonzero(group == np.arange(len(group)))
+    size = np.diff(np.append(lo, len(group)))
+    while len(lo := lo[(some := size > 1)]):
+        size = size[some]
+        place, first = ragged(lo, size), np.cumsum(size) - size
+        item = order[place]
+        string = at[item]
+        head = np.repeat(string[first], size)
+        split, same = np.full(len(item), LENGTH), np.arange(len(item))
+        for depth in (*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8):
+            x = u[string[same] + depth] ^ u[head[same] + depth]
+            differ = x != 0
+            x = x[differ]
+            split[same[differ]] = depth + (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+            same = same[~differ]
+        split = np.minimum.reduceat(split, first)
+        inner = split < LENGTH
+        go = np.repeat(inner, size)
+        place, item, string = place[go], item[go], string[go]
+        child = np.repeat(np.arange(int(inner.sum())), size[inner]) << 8 | b[string + np.repeat(split[inner], size[inner])]
+        by = np.argsort(child, kind="stable")
+        order[place], child = item[by], child[by]
+        new = np.flatnonzero(np.diff(child, prepend=-1))
+        lo, size = place[new], np.diff(np.append(new, len(child)))
+        group[place] = np.repeat(lo, size)
+
+
+def suffix_groups(raw: bytes, at: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the strings of LENGTH bytes at ``at``: their order, and for each place in it the place where its group of equal strings begins.
+
+    ``starts`` says where buckets begin within which to sort: no string may equal one of another bucket.
     """
-
-    def __init__(self) -> None:
-        self.root: list | tuple | None = None
-
-    def insert(self, string: bytes, item: int) -> None:
-        if self.root is None:
-            self.root = [string, item]
-            return
-        node, path = self.root, []
-        while type(node) is tuple:
-            path.append(node)
-            node = node[1].get(string[node[0]]) or next(iter(node[1].values()))
-        other = node[0]
-        if other == string:
-            node.append(item)
-            return
-        x = int.from_bytes(string) ^ int.from_bytes(other)
-        split = len(string) - 1 - (x.bit_length() - 1) // 8
-        above = None
-        for inner in path:
-            if inner[0] >= split:
-                break
-            above = inner
-        leaf = [string, item]
-        below = self.root if above is None else above[1].get(string[above[0]])
-        if type(below) is tuple and below[0] == split:
-            below[1][string[split]] = leaf
-            return
-        branch = (split, {other[split]: below, string[split]: leaf})
-        if above is None:
-            self.root = branch
-        else:
-            above[1][string[above[0]]] = branch
-
-    def leaves(self) -> Iterator[list[int]]:
-        """The items of equal strings, in the order of the strings."""
-        stack = [self.root]
-        while stack:
-            node = stack.pop()
-            if type(node) is tuple:
-                stack += [node[1][c] for c in sorted(node[1], reverse=True)]
-            elif node is not None:
-                yield node[1:]
-
-
-def suffix_groups(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the strings of LENGTH bytes at ``at``: their order, and for each place in it the place where its group of equal strings begins."""
     u = _words(raw)
     order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    quicksort(lambda item, deep: u[at[item] + deep].byteswap(), order, group, SHALLOW, 8)
-    edge = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1 if len(at) else np.zeros(0, np.int64)
-    start = np.concatenate(([0], edge[:-1])) if len(edge) else edge
-    deep = edge - start > 1
-    for lo, hi in zip(start[deep].tolist(), edge[deep].tolist()):
-        trie = BlindTrie()
-        items = order[lo:hi].tolist()
-        for item, k in zip(items, at[items].tolist()):
-            trie.insert(raw[k : k + LENGTH], item)
-        for same in trie.leaves():
-            order[lo : lo + len(same)] = same
-            group[lo : lo + len(same)] = lo
-            lo += len(same)
+    if starts is None:
+        starts = np.zeros(min(len(at), 1), np.int64)
+    quicksort(lambda item, deep: u[at[item] + deep].byteswap(), order, group, SHALLOW, 8, starts)
+    blind_tries(raw, at, order, group)
     return order, group
 
 
+def windows_of(first: np.ndarray, offset: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of about SORT windows of segments that lie in the order of their ``anchor``: segment, place in the segment, and where buckets begin.
+
+    A bucket holds the windows of one anchor that begin as far before it. Equal windows hold the same bytes before the same
+    anchor, so they are in one bucket. An anchor of more than SORT windows goes bucket by bucket: a window a segment at most.
+    """
+    edge = np.flatnonzero(np.diff(anchor, prepend=-1, append=-1))  # where each anchor's segments begin
+    upto = np.concatenate(([0], np.cumsum(count)))[edge]
+    done = 0
+    while done < len(edge) - 1:
+        stop = max(done + 1, int(np.searchsorted(upto, upto[done] + SORT, "right")) - 1)
+        lo, hi = int(edge[done]), int(edge[stop])
+        if upto[stop] - upto[done] > SORT:
+            for before in range(SPAN):
+                k = offset[lo:hi] - before
+                seg = np.flatnonzero((k >= 0) & (k < count[lo:hi]))
+                if len(seg) > 1:
+                    yield first[lo:hi][seg], k[seg], np.zeros(1, np.int64)
+        else:
+            seg = np.repeat(np.arange(lo, hi), count[lo:hi])
+            k = ragged(np.zeros(hi - lo, np.int64), count[lo:hi])
+            bucket = (anchor[seg] - anchor[lo]) * SPAN + offset[seg] - k
+            by = np.argsort(bucket, kind="stable")
+            yield first[seg[by]], k[by], np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        done = stop
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for each row of ``docs``; kept holds the bytes that are left.
 
@@ -305,18 +312,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         value = np.repeat(least, windows)
         base = np.cumsum(windows) - windows
         alike = np.argsort(group, kind="stable")
-        edge = np.flatnonzero(np.diff(group[alike], prepend=-1, append=-1))  # where each anchor's segments begin
-        upto = np.concatenate(([0], np.cumsum(windows[alike])))[edge]
-        done = 0
-        while done < len(edge) - 1:  # whole anchors, about SORT windows at a time
-            stop = max(done + 1, int(np.searchsorted(upto, upto[done] + SORT, "right")) - 1)
-            some = alike[edge[done] : edge[stop]]
-            done = stop
-            at, slot = ragged(start[some], windows[some]), ragged(base[some], windows[some])
-            order, head = suffix_groups(raw, at)
-            starts = np.flatnonzero(head == np.arange(len(head)))
-            low = np.minimum.reduceat(value[slot][order], starts)
-            value[slot[order]] = np.repeat(low, np.diff(np.append(starts, len(head))))
+        for some, k, starts in windows_of(alike, off[alike], windows[alike], group[alike]):
+            at, slot = start[some] + k, base[some] + k
+            order, head = suffix_groups(raw, at, starts)
+            heads = np.flatnonzero(head == np.arange(len(head)))
+            low = np.minimum.reduceat(value[slot][order], heads)
+            value[slot[order]] = np.repeat(low, np.diff(np.append(heads, len(head))))
         new = np.ones(len(value), bool)
         new[1:] = value[1:] != value[:-1]
         new[base] = True

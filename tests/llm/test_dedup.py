@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -172,6 +173,61 @@ def test_suffix_groups_sort():
     assert len({*group.tolist()}) == len({*strings})
 
 
+def test_suffix_groups_by_bucket():
+    rng = random.Random(6)
+    raw = "".join(rng.choice("ab") for _ in range(300)).encode() * 3 + b"c" * 90 + bytes(64)
+    at = np.array(sorted(range(800), key=lambda k: raw[k : k + 2]))
+    firsts = [raw[k : k + 2] for k in at.tolist()]
+    starts = np.array([k for k in range(800) if not k or firsts[k] != firsts[k - 1]])
+    order, group = substringdedup.suffix_groups(raw, at, starts)
+    strings = [raw[at[k] : at[k] + 50] for k in order]
+    assert strings == sorted(strings)
+    assert group.tolist() == [strings.index(x) for x in strings]
+
+
+def test_sorting_repeated_windows_takes_few_calls():
+    """A passage that very many documents hold is sorted by array operations, not string by string."""
+    rng = random.Random(12)
+    part = "".join(rng.choice("abcdef") for _ in range(70)).encode()
+    raw = b"".join(part[: rng.randint(55, 70)] + bytes([97 + k % 26]) * 60 for k in range(4000)) + bytes(64)
+    at = np.arange(0, len(raw) - 120, 13)
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        order, group = substringdedup.suffix_groups(raw, at)
+    finally:
+        sys.setprofile(None)
+    strings = [raw[at[k] : at[k] + 50] for k in order]
+    assert strings == sorted(strings) and len({*group.tolist()}) == len({*strings}) < len(at) / 2
+    assert calls[0] < len(at) / 10
+
+
+def test_substring_dedup_of_a_hot_passage():
+    """An anchor with more windows than a batch goes bucket by bucket, and none of its windows is lost."""
+    rng = np.random.default_rng(4)
+    anchor = np.sort(np.concatenate((np.zeros(500, np.int64), rng.integers(1, 40, 300))))
+    count = rng.integers(1, 32, 800)
+    offset = rng.integers(count - 1, 31)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substringdedup, "SORT", 600)
+        seen = {}
+        for seg, k, starts in substringdedup.windows_of(np.arange(800), offset, count, anchor):
+            assert len(seg) <= 600
+            bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(seg))))
+            for b, s, w in zip(bucket.tolist(), seg.tolist(), k.tolist()):
+                assert (s, w) not in seen
+                seen[s, w] = (anchor[s], offset[s] - w)
+            assert len({*zip(bucket.tolist(), (seen[x] for x in zip(seg.tolist(), k.tolist())))}) == len(starts)
+    every = {(s, w): (anchor[s], offset[s] - w) for s in range(800) for w in range(count[s])}
+    alone = [x for x in every if x not in seen]
+    held = [*every.values()]
+    assert all(held.count(every[x]) == 1 for x in alone) and all(seen[x] == every[x] for x in seen)
+
+
 def test_line_dedup(table):
     rng = random.Random(4)
     lines = ["Short", "a longer line", "A LONGER LINE", " \ta longer line ", "ünïcödé lïn", "ééééé", "0123456789", "", "another one here", "last line of all"]
