@@ -257,8 +257,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
 
 # ---------------------------------------------------------------- near-duplicates by shingle similarity
 
-#: Edge-disjoint spanning forests of each bucket whose edges are checked first.
-FORESTS = 4
+#: Bytes of text in a tile of a family.
+TILE_BYTES = 8 << 20
 #: Chance that a pair at exactly the threshold, of the sizes for which bits agree least, meets in no band.
 MISS = 0.005
 
@@ -276,6 +276,36 @@ def _bit_error(similarity: float) -> float:
     return worst
 
 
+class ShingleSets:
+    """Sets of shingle hashes, numbered, without the hashes that only one of them holds."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        _, number, times = np.unique(every, return_inverse=True, return_counts=True)
+        often = times > 1
+        self.size = np.array([len(x) for x in sets], np.int64)
+        held = often[number]
+        upto = np.concatenate(([0], np.cumsum(held)))[np.concatenate(([0], np.cumsum(self.size)))]
+        self.start, self.end = upto[:-1], upto[1:]
+        self.numbers = (np.cumsum(often) - 1)[number[held]]
+        self.mark = np.zeros(int(often.sum()), np.int32)
+
+    def similar(self, i: int, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the sets j (in order) have at least this Jaccard similarity to set i."""
+        own = self.numbers[self.start[i] : self.end[i]]
+        self.mark[own] = 1
+        lo, n = self.start[j[0]], self.end[j] - self.start[j]
+        if self.end[j[-1]] - lo <= 4 * n.sum():
+            sums = np.concatenate(([0], np.cumsum(self.mark[self.numbers[lo : self.end[j[-1]]]])))
+            both = sums[self.end[j] - lo] - sums[self.start[j] - lo]
+        else:
+            upto = np.cumsum(n)
+            sums = np.concatenate(([0], np.cumsum(self.mark[self.numbers[np.repeat(self.end[j] - upto, n) + np.arange(upto[-1])]])))
+            both = sums[upto] - sums[upto - n]
+        self.mark[own] = 0
+        return both >= similarity * (self.size[i] + self.size[j] - both)
+
+
 def _classes(docs: DataFrame, words: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, x, digest) for each row, x a hash of its text; and (digest, x, least, component) for each distinct shingle set, of which some row (least, x) is the representative."""
     spark = docs.sparkSession
@@ -320,90 +350,77 @@ def _classes(docs: DataFrame, words: int, similarity: float, tile: int) -> tuple
             for at in range(0, bands, 8):
                 k = key[:, at : at + 8]
                 m = k.shape[1]
-                more = {x: np.repeat(batch.column(x).to_numpy(), m) for x in ("n", "class")}
-                yield pa.RecordBatch.from_pydict({"key": k.reshape(-1), "rep": np.repeat(rep, m), "f": pa.array([x for x in first for _ in range(m)], pa.binary()), **more})
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Ids of the rows of some buckets, their fingerprints, and pairs of them within the radius that are of two classes and of sizes that allow the similarity."""
-        for key, rep, f, n, own in grouped(batches, "key", "rep", "f", "n", "class"):
-            k, ids, size, c = (x.to_numpy() for x in (key, rep, n, own))
-            fps = np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(k), -1)
-            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            mixed_ = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), np.diff(np.append(start, len(k))))
-            k, ids, size, c, fps = k[mixed_], ids[mixed_], size[mixed_], c[mixed_], np.ascontiguousarray(fps[mixed_])
-
-            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for i, j in close_pairs(k, fps, radius):
-                    ok = (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-                    yield i[ok], j[ok]
-
-            yield ids, fps, pairs()
-
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, found in near(batches):
-            for i, j in found:
-                for at in range(0, len(i), STEP):
-                    x, y = ids[i[at : at + STEP]], ids[j[at : at + STEP]]
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                yield pa.RecordBatch.from_pydict({"key": k.reshape(-1), "rep": np.repeat(rep, m), "f": pa.array([x for x in first for _ in range(m)], pa.binary()), "n": np.repeat(batch.column("n").to_numpy(), m)})
+
+    def near(k: np.ndarray, fps: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows with one key that are within the radius and of sizes that allow the similarity."""
+        for i, j in close_pairs(k, fps, radius):
+            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            yield i[ok], j[ok]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, fps, found in near(batches):
-            forests = [np.arange(len(ids)) for _ in range(FORESTS)]
-            for i, j in found:
-                rest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), kind="stable")
-                for forest in forests:
-                    used = _join(forest, i[rest], j[rest])
-                    if not used:
-                        break
-                    u = rest[used]
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i[u]], ids[j[u]]), "b": np.maximum(ids[i[u]], ids[j[u]])})
-                    rest = np.delete(rest, used)
-
-    fps = reps.where("n > 0").select("rep", "wide", "n", F.col("rep").alias("class"))
+        """What each bucket's pairs connect, as stars around the smallest row."""
+        for key, rep, f, n in grouped(batches, "key", "rep", "f", "n"):
+            k, ids, size = (x.to_numpy() for x in (key, rep, n))
+            parent = np.arange(len(ids))
+            for i, j in near(k, np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(k), -1), size):
+                _join(parent, i, j)
+            root = _roots(parent, np.arange(len(ids)))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            if len(moved):
+                yield pa.RecordBatch.from_pydict({"a": ids[root[moved]], "b": ids[moved]})
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A spanning forest of the links in each group, from all pairs within the radius that links found before don't connect. In a group of two tiles only pairs across count."""
+        for key, rep, f, n, own, across, text in grouped(batches, "key", "rep", "f", "n", "own", "across", "text"):
+            k, ids, size, tile_of, cross = (x.to_numpy() for x in (key, rep, n, own, across))
+            sets = ShingleSets([np.unique(np.concatenate([*shingle_hashes(x, words)])) for x in utf8(text)])
+            parent = np.arange(len(ids))
+            for i, j in near(k, np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(k), -1), size):
+                ok = ~cross[i] | (tile_of[i] != tile_of[j])
+                i, j = i[ok], j[ok]
+                edge = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+                a, b = [], []
+                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    row, some = int(i[lo]), j[lo:hi]
+                    some = some[_roots(parent, some) != _roots(parent, i[lo : lo + 1])]
+                    if len(some):
+                        some = some[sets.similar(row, some, similarity)]
+                        used = _join(parent, np.full(len(some), row), some)
+                        a += [ids[row]] * len(used)
+                        b += ids[some[used]].tolist()
+                if a:
+                    yield pa.RecordBatch.from_pydict({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    fps = reps.where("n > 0").select("rep", "wide", "n")
     hot = materialise(fps.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("rows")).where(F.col("rows") > tile))
     any_hot = not hot.isEmpty()
 
-    def buckets(fps: DataFrame) -> DataFrame:
-        rows = fps.mapInArrow(banded, "key long, rep long, f binary, n int, class long")
-        if any_hot:
-            # a bucket of over ``tile`` rows is cut into tiles; every two tiles meet in a task of their own
-            tiles = F.ceil(F.col("rows") / tile).cast("int")
-            own = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("rep"), tiles).cast("int"))
-            met = rows.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0))))})
-            pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-            rows = met.select(F.when(F.col("rows").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", "f", "n", "class")
-        return rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep")
-
-    @arrow_udf("boolean")
-    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        out, sets = [], {}
-        for s, t in zip(utf8(x), utf8(y)):
-            for z in (s, t):
-                if z not in sets:
-                    sets[z] = np.unique(np.concatenate([*shingle_hashes(z, words)]))
-            u, v = sets[s], sets[t]
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(both >= similarity * (len(u) + len(v) - both))
-        return pa.array(out, pa.bool_())
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        asked = reps.join(ends, "rep").select("rep", "key", "x")
-        texts = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "x", "text")
-        texts = materialise(texts.join(asked.hint("merge"), ["key", "x"]).select("rep", "text").dropDuplicates(["rep"]))  # one plan at every size: both sides go by key and x
-        held = pairs.join(texts.toDF("a", "x").hint("merge"), "a").join(texts.toDF("b", "y").hint("merge"), "b").where(similar("x", "y")).select("a", "b")
-        held = materialise(held)
-        discard(texts)
-        return held
-
-    first = materialise(buckets(fps).mapInArrow(candidates, "a long, b long").distinct())
-    held = checked(first)
-    comp = materialise(components(held))
-    classed = fps.drop("class").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "wide", "n", F.coalesce("component", "rep").alias("class"))
-    # equal classes are linked already, so what is left is every pair that could still change a class
-    second = materialise(buckets(classed).mapInArrow(remaining, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        comp = components(held.unionAll(checked(second)))
+    rows = fps.mapInArrow(banded, "key long, rep long, f binary, n int")
+    if any_hot:
+        # a bucket of over ``tile`` rows is cut into tiles; every two tiles meet in a task of their own
+        tiles = F.ceil(F.col("rows") / tile).cast("int")
+        own = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+        met = rows.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0))))})
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        rows = met.select(F.when(F.col("rows").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", "f", "n")
+    buckets = rows.repartition(parts(spark, n_docs * bands, 1 << 17), "key").sortWithinPartitions("key", "rep")
+    family = materialise(components(materialise(buckets.mapInArrow(candidates, "a long, b long").distinct())))
+
+    # all pairs of all buckets lie within families, so each family is checked as a whole: its texts travel, its pairs don't
+    asked = family.join(reps, F.col("rep") == F.col("node")).select("component", "rep", "key", "x", F.substring("wide", 1, 32).alias("f"), "n")
+    texts = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "x", "text")
+    texts = materialise(texts.join(asked.hint("merge"), ["key", "x"]).select("component", "rep", "f", "n", "text").dropDuplicates(["rep"]))  # one plan at every size: both sides go by key and x
+    load = texts.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("size"))
+    load = materialise(load.select(F.col("component").alias("of"), F.greatest(F.ceil(F.col("rows") / tile), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("tiles")).where("tiles > 1"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cut = texts.join(load, F.col("component") == F.col("of"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    groups = cut.select(F.xxhash64("component", low, high).alias("key"), "rep", "f", "n", "own", (low < high).alias("across"), "text")
+    held = groups.repartition(parts(spark, total, TILE_BYTES), "key").sortWithinPartitions("key", "rep").mapInArrow(verified, "a long, b long")
+    comp = components(held)
+    discard(texts)
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select("digest", "x", "least", F.coalesce("component", "rep").alias("component"))
     return sig.select("doc_id", "x", "digest"), materialise(label)
 
@@ -413,9 +430,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
 
     Wide SimHash fingerprints (as many bits as the bands below need) are banded so that a pair at the threshold
     meets in some band with probability 1 - MISS, bit-sliced comparison on 256 of the bits keeps the pairs within the
-    radius of the threshold and three deviations. An exact check on the texts decides in two rounds: first over the
-    edges of FORESTS edge-disjoint spanning forests of each bucket, then over every pair that the links found so far
-    don't connect, so a rejected edge costs no link. Texts with equal shingle sets are collapsed first, so groups
+    radius of the threshold and three deviations. Buckets pass on which rows their pairs connect, and components of that are
+    families: every pair of every bucket lies in a family. Then all pairs of a family that are within the radius are checked exactly,
+    on the shingle sets, but for those that links found before connect; a large family is cut into tiles, every two of which meet.
+    Texts with equal shingle sets are collapsed first, so groups
     of copies cost one row. Null and empty texts and those without words have the empty set and are linked to each
     other. Rows are linked by their texts alone: rows that share a doc_id may be of several classes, and a row without
     a doc_id is of the class of its text (null if no row of the class has a doc_id). An empty table gives no rows.

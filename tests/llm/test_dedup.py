@@ -132,6 +132,43 @@ def test_near_duplicates_among_many_poor_pairs(table):
     assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()} == comp
 
 
+def test_poor_pairs_do_not_travel(table, monkeypatch):
+    """Variants of one text that lie within the radius but below the threshold: no table holds more rows than a few for each document; tiles find the same."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(200)]
+    docs = []
+    for k in range(400):
+        w = base.copy()
+        for p in rng.sample(range(2, 200, 5), 6):
+            w[p] = f"v{k}x{p}"
+        docs.append((k, " ".join(w)))
+        if k % 40 == 0:
+            docs.append((1000 + k, " ".join([*w, "end"])))
+    seen = []
+    real = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: seen.append(real(df)) or seen[-1])
+    monkeypatch.setattr(simhash, "discard", lambda df: None)
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for k, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = smallest(links, sets)
+    assert len({*comp.values()}) > 100 and sum(comp[k] == comp[1000 + k] for k in range(0, 400, 40)) == 10
+    assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()} == comp
+    # a row is in 40 buckets, and none of them adds more than a row to it
+    assert max(df.count() for df in seen) <= 40 * len(docs)
+    monkeypatch.setattr(simhash, "TILE_BYTES", 100_000)
+    assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()} == comp
+
+
+def test_shingle_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 80), dtype=np.uint64)) for _ in range(40)] + [np.array([10**6], np.uint64)] * 2 + [np.array([7 * 10**6], np.uint64)]
+    found = simhash.ShingleSets(sets)
+    want = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))
+    for i in range(42):
+        for j in (np.arange(i + 1, 43), np.arange(i + 1, 43, 9), np.array([42])):
+            assert found.similar(i, j, 0.6).tolist() == [want(i, k) for k in j]
+
+
 def brute_removed(docs):
     first = {}
     for k, t in sorted(docs, key=lambda d: d[0]):
