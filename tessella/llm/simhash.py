@@ -76,14 +76,59 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
-def wide_fingerprint(raw: bytes, words: int, n_words: int) -> tuple[bytes, bytes, int]:
-    """Digest of the shingle set, ``n_words`` 64-bit words of fingerprint over that set, and its size."""
-    every = [*shingle_hashes(raw, words)]
-    if not every:
-        return b"", bytes(8 * n_words), 0
-    h = np.unique(np.concatenate(every))
-    bits = np.concatenate([2 * bit_counts(mixed(h, k)) > len(h) for k in range(n_words)])
-    return xxhash.xxh3_128_digest(h.tobytes()), np.packbits(bits, bitorder="little").tobytes(), len(h)
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of each bit."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
+def majorities(h: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """Fingerprints (bytes) of runs of ``sizes`` hashes: each bit of ``n_words`` hashes derived from them is set if it is set in over half of the run.
+
+    The hashes of a run are dealt to columns of 15 at most; carry-save adders count all columns at once, and only the four planes of counts are unpacked.
+    """
+    columns = -(-sizes // 15)
+    first = np.cumsum(columns) - columns
+    total = int(columns.sum())
+    place, each = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(columns, sizes)
+    at = place // each * total + np.repeat(first, sizes) + place % each
+    rows, out = np.zeros((15, total), np.uint64), []
+    for k in range(n_words):
+        rows.reshape(-1)[at] = mixed(h, k)
+        ones, twos = zip(*(_add(*rows[x : x + 3]) for x in range(0, 15, 3)))
+        x, c = _add(*ones[:3])
+        one, d = _add(x, *ones[3:])
+        x, e = _add(*twos[:3])
+        y, f = _add(*twos[3:], c)
+        two, g = _add(x, y, d)
+        four, eight = _add(e, f, g)
+        count = np.zeros((total, 64), np.uint8)
+        for weight, plane in enumerate((one, two, four, eight)):
+            count += np.unpackbits(plane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") << weight
+        out.append(2 * np.add.reduceat(count, first, axis=0, dtype=np.int64) > sizes[:, None])
+    return np.packbits(np.concatenate(out, axis=1), axis=1, bitorder="little")
+
+
+def wide_fingerprints(texts: list[bytes], words: int, n_words: int) -> list[tuple[bytes, bytes, int]]:
+    """For each text the digest of its shingle set, ``n_words`` 64-bit words of fingerprint over that set, and its size."""
+    out: list[tuple[bytes, bytes, int]] = []
+    sets: list[np.ndarray] = []
+
+    def flush() -> None:
+        full = [x for x in sets if len(x)]
+        wide = iter(majorities(np.concatenate(full), np.array([len(x) for x in full]), n_words) if full else ())
+        out.extend((xxhash.xxh3_128_digest(x.tobytes()), next(wide).tobytes(), len(x)) if len(x) else (b"", bytes(8 * n_words), 0) for x in sets)
+        sets.clear()
+
+    held = 0
+    for x in texts:
+        sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(x, words)])))
+        held += len(sets[-1])
+        if held >= STEP // 2:
+            flush()
+            held = 0
+    flush()
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -319,7 +364,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, tile: int) -> tuple
 
     @arrow_udf("struct<digest: binary, wide: binary, n: int>")
     def wide(text: pa.Array) -> pa.Array:
-        rows = [wide_fingerprint(x, words, n_words) for x in utf8(text)]
+        rows = wide_fingerprints(utf8(text), words, n_words)
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int32())], ["digest", "wide", "n"])
 
     sig = materialise(d.select("doc_id", "x", wide("text").alias("w")).select("doc_id", "x", "w.digest", "w.wide", "w.n"))

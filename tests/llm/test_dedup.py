@@ -159,6 +159,24 @@ def test_poor_pairs_do_not_travel(table, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(table(docs)).collect()} == comp
 
 
+def test_wide_fingerprints(monkeypatch):
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (1, 4, 5, 6, 18, 19, 20, 34, 35, 300, 2000, 9000)] + ["", " \n", "word " * 400, prose(rng, 40)]
+    monkeypatch.setattr(simhash, "STEP", 4000)
+    calls = []
+    real = simhash.majorities
+    monkeypatch.setattr(simhash, "majorities", lambda *x: calls.append(len(x[1])) or real(*x))
+    got = simhash.wide_fingerprints([x.encode() for x in texts], 5, 3)
+    for text, (digest, wide, n) in zip(texts, got, strict=True):
+        w = words(text)
+        grams = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        h = np.array(sorted(xxhash.xxh64_intdigest(g.encode(), 42) for g in grams), np.uint64)
+        assert n == len(h) and digest == (xxhash.xxh3_128_digest(h.tobytes()) if n else b"")
+        bits = [2 * sum(int(z) >> b & 1 for z in simhash.mixed(h, k)) > n for k in range(3) for b in range(64)]
+        assert wide == np.packbits(bits, bitorder="little").tobytes()
+    assert max(calls) > 5  # many texts at once
+
+
 def test_shingle_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 80), dtype=np.uint64)) for _ in range(40)] + [np.array([10**6], np.uint64)] * 2 + [np.array([7 * 10**6], np.uint64)]
